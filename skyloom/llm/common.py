@@ -47,6 +47,11 @@ def ship(spark: SparkSession) -> None:
     sc._skyloom_shipped = True
 
 
+def utf8(column) -> list[bytes]:
+    """The values of an Arrow string column as bytes; null counts as empty."""
+    return [x or b"" for x in column.cast("binary").to_pylist()]
+
+
 def whole_rows(df: DataFrame) -> DataFrame:
     """Packs each row into one struct, so that columns computed later can't clash with those of the input."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
