@@ -185,7 +185,8 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
             kept = b.take(pa.array(good, pa.int64()))
             yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("node", "comp", "part", "parts", "copies")], pa.array(found, pa.binary())], names=["node", "comp", "part", "parts", "copies", "grams"])
 
-    got = docs.selectExpr("CAST(doc_id AS BIGINT) AS node", "text").join(members, "node")
+    # Members grow with the input, so they are shuffled at every size.
+    got = docs.selectExpr("CAST(doc_id AS BIGINT) AS node", "text").join(members.hint("merge"), "node")
     got = got.mapInArrow(run, "node long, comp long, part int, parts int, copies long, grams binary")
     # Each member goes to every block that pairs its part with another, or with itself.
     got = got.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "_o"), "high": F.greatest("part", "_o")}).drop("_o")
