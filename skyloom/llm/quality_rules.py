@@ -91,12 +91,14 @@ def limits(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     made = [F.expr(f"{r}_75 + greatest({k} * ({r}_75 - {r}_50), {least})").alias(f"hi_{r}") for r, (k, least) in UPPER.items()]
     made += [F.expr(f"{r}_25 - greatest({k} * ({r}_50 - {r}_25), {least})").alias(f"lo_{r}") for r, (k, least) in LOWER.items()]
     t = materialise(q.select("level", "lkey", "skey", F.struct("total", *made).alias("lim")), "quality-limits")
-    own, lang, rest = (t.filter(F.col("level") == k).drop("level") for k in (0, 1, 2))
+    own, lang = (t.filter(F.col("level") == k).drop("level") for k in (0, 1))
     lang = lang.select("lkey", F.col("lim").alias("lim1"))
-    rest = rest.select(F.lit(1).alias("one"), F.col("lim").alias("lim2"))
-    chosen = own.join(lang, "lkey").withColumn("one", F.lit(1)).join(rest, "one")
-    best = F.when(F.col("lim.total") >= min_docs, F.col("lim")).when(F.col("lim1.total") >= min_docs, F.col("lim1")).otherwise(F.col("lim2"))
-    return materialise(chosen.select("lkey", "skey", best.alias("lim")), "quality-chosen")
+    rest = t.filter("level = 2").select("lim.*").first()  # one row
+    if rest is None:
+        return own.select("lkey", "skey", "lim")
+    lim2 = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in rest.asDict().items()])
+    best = F.when(F.col("lim.total") >= min_docs, F.col("lim")).when(F.col("lim1.total") >= min_docs, F.col("lim1")).otherwise(lim2)
+    return materialise(own.join(lang, "lkey").select("lkey", "skey", best.alias("lim")), "quality-chosen")
 
 
 def keyed(df: DataFrame, lang: Column, source: Column) -> DataFrame:
@@ -122,7 +124,9 @@ def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     measured = keyed(measures(whole_rows(docs), F.col("doc.text")), F.col("doc.lang"), F.col("doc.source"))
     chosen = limits(sketches(measured), min_docs)
-    return judged(measured, chosen).filter("kept").select("doc.*")
+    # _pin isn't deterministic, so the filter stays above the measures; pushed into them it would evaluate them once for each of its terms and array element.
+    pinned = measured.withColumn("_pin", F.monotonically_increasing_id())
+    return judged(pinned, chosen).filter("kept AND _pin >= 0").select("doc.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
