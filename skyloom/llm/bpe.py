@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, slices, table
 
 #: Words in the lexicon at most, and the longest that enter it, in bytes.
 LEXICON_WORDS, LONGEST = 1 << 16, 64
@@ -208,12 +208,12 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         total: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 for piece, special in voc.pieces(text or ""):
                     if special is None:
                         total.update(WORD.findall(piece))
-            if len(total) > 200_000:
+            if len(total) > 60_000:
                 yield _counted(total)
                 total = Counter()
         yield _counted(total)
@@ -242,7 +242,7 @@ def make_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS) -> st
 class Encoder:
     """Encodes and decodes texts; of the words of recent texts, MOST_KNOWN at most, the ids are kept."""
 
-    MOST_KNOWN = 300_000
+    MOST_KNOWN = 100_000
 
     def __init__(self, voc: Vocabulary, lex: Lexicon):
         self.voc, self.lex, self.known = voc, lex, {}
@@ -295,7 +295,7 @@ def _run(docs: DataFrame, path: str | None, n_words: int, digests: bool) -> Data
         coder = encoder(path, SparkFiles.get(name))
         voc = coder.voc
         text_of = [str(i) for i in range(max(voc.token) + 1)]
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 ids = coder.encode(text or "")

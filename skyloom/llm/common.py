@@ -47,6 +47,13 @@ def ship(spark: SparkSession) -> None:
     sc._skyloom_shipped = True
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in parts of few rows, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def utf8(column) -> list[bytes]:
     """The values of an Arrow string column as bytes; null counts as empty."""
     return [x or b"" for x in column.cast("binary").to_pylist()]

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_training, ship, table, utf8
+from .common import is_training, ship, slices, table, utf8
 
 SEGMENT, HIDDEN = 64, 8
 #: Bounds of the training sample: documents of each language (expected), segments of each document.
@@ -198,7 +198,7 @@ def training_segments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < shares[F.col("lang")]).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, langs, parts = [], [], []
             for doc_id, lang, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
                 if len(raw) >= SEGMENT:
@@ -225,7 +225,7 @@ def identify(docs: DataFrame) -> DataFrame:
     net = train_network(x, y, max(len(langs), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             mean = score_texts(net, b.column(1).to_pylist())
             none = np.isnan(mean[:, 0]) | (not langs)
             q = np.exp(_log_softmax(np.where(none[:, None], 0, mean) * POOL, 1))

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship, table, utf8
+from .common import ship, slices, table, utf8
 
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -199,7 +199,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(templates)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))]
-        for b in batches:
+        for b in slices(batches):
             rows = [scan(t, automaton, split) for t in utf8(b.column(1))]
             cols = list(zip(*rows)) if rows else [()] * 8
             cols[7] = [[{"label": x, "start": s, "stop": e} for x, s, e in v] for v in cols[7]]

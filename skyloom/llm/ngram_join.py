@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, table, utf8
+from .common import materialise, ship, slices, table, utf8
 from .graph import components
 from .license_scan import words_of
 
@@ -56,7 +56,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for b in batches:
+        for b in slices(batches):
             fps, keys = [], []
             for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 words = words_of(text)
@@ -175,7 +175,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for b in batches:
+        for b in slices(batches):
             good, found = [], []
             for k, (text, fp) in enumerate(zip(utf8(b.column("text")), b.column("fp").to_pylist())):
                 words = words_of(text)

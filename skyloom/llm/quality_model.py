@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_training, ship, table, utf8, whole_rows
+from .common import is_training, ship, slices, table, utf8, whole_rows
 
 #: Expected size of the sample that is fitted.
 MAX_TRAIN = 30_000
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [statistics(t) for t in utf8(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t) for t in utf8(b.column(1))], np.float64).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x.astype(np.float32).astype(np.float64)))], names=["doc", "score"])
 
