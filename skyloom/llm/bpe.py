@@ -21,6 +21,7 @@ import mmap
 import os
 import struct
 import tempfile
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -231,7 +232,7 @@ def make_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS) -> st
     top = count_words(docs, path).orderBy(F.desc("n"), "word").limit(n_words).toArrow()["word"].to_pylist()
     voc = vocabulary(path)
     data = build_lexicon({w.encode(): voc.merge(w.encode()) for w in top})
-    name = f"lexicon_{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    name = f"lexicon_{uuid.uuid4().hex}.bin"
     sc, local = docs.sparkSession.sparkContext, os.path.join(tempfile.mkdtemp(), name)
     with open(local, "wb") as f:
         f.write(data)
