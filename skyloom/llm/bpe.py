@@ -19,14 +19,16 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -37,9 +39,18 @@ from .common import ship, slices, table
 
 #: Words in the lexicon at most, and the longest that enter it, in bytes.
 LEXICON_WORDS, LONGEST = 1 << 16, 64
+_NO_RANK = 1 << 62
 #: White space as the library's regular expressions have it: Unicode's White_Space, without U+001C to U+001F.
-_S = r"\x09-\x0d\x20\x85\xa0  -     　"
-WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_S = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+WORD = regex.compile(_PATTERN.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").replace("{S}", _S))
+#: The same for texts of characters below U+0100, with their letters and numbers listed.
+WORD_LATIN = re.compile(_PATTERN.replace("{L}", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff").replace("{N}", "0-9\xb2\xb3\xb9\xbc-\xbe").replace("{S}", r"\x09-\x0d\x20\x85\xa0"))
+_ABOVE_LATIN = re.compile("[^\x00-\xff]")
+
+
+def split_words(text: str) -> list[str]:
+    return (WORD if _ABOVE_LATIN.search(text) else WORD_LATIN).findall(text)
 
 
 def vocabulary_path() -> str:
@@ -77,13 +88,14 @@ class Vocabulary:
             a, b = m if isinstance(m, list) else m.split(" ")
             a, b = unletter(a), unletter(b)
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        self.rank_of = {a << 20 | b: rank << 20 | new for (a, b), (rank, new) in self.merges.items()}
         self.token = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of ordinary text, and special tokens with their ids, in order."""
         at = 0
-        for m in self.cut.finditer(text) if self.cut else ():
+        for m in self.cut.finditer(text) if self.cut and any(x in text for x in self.special) else ():
             if m.start() > at:
                 yield text[at : m.start()], None
             yield m[0], self.special[m[0]]
@@ -92,9 +104,21 @@ class Vocabulary:
             yield text[at:], None
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: always the pair of least rank, the leftmost of equals, with a heap over a linked list."""
+        """Exact merging: always the pair of least rank, the leftmost of equals; for long words with a heap over a linked list."""
         ids: list = [self.byte_id[b] for b in word]
         n = len(ids)
+        if n <= LONGEST:
+            get = self.rank_of.get
+            ranks = [get(a << 20 | b, _NO_RANK) for a, b in zip(ids, ids[1:])]
+            while ranks and (least := min(ranks)) != _NO_RANK:
+                k, new = ranks.index(least), least & 0xFFFFF
+                ids[k : k + 2] = [new]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = get(ids[k - 1] << 20 | new, _NO_RANK)
+                if k < len(ranks):
+                    ranks[k] = get(new << 20 | ids[k + 1], _NO_RANK)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges = self.merges
         heap = [(*m, k) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
@@ -147,25 +171,47 @@ def build_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             path += [[False, []] for _ in word[common:]]
             path[-1][0] = True
             last = word
-    root = unique(path[0])
+    return _packed(unique(path[0]), arcs, final, words, entries)
+
+
+def _packed(root: int, arcs: list, final: list[bool], words: list[bytes], entries: dict[bytes, list[int]]) -> bytes:
+    """States in a shared table of slots: the arc of state s with label b is slot base[s] + b, if owner is s there."""
     below = [0] * len(arcs)  # words accepted from each state; targets have lower numbers
-    first, labels, targets, outputs = array("I", [0]), bytearray(), array("I"), array("I")
+    used, low, high = bytearray(1), 0, 0
+    base, slots = np.zeros(len(arcs), np.int32), []
     for s, out in enumerate(arcs):
         n = int(final[s])
-        for label, target in out:
-            labels.append(label)
-            targets.append(target)
+        labels, outputs = [a[0] for a in out], []
+        for _, target in out:
             outputs.append(n)
             n += below[target]
         below[s] = n
-        first.append(len(labels))
-    starts, ids = array("I", [0]), array("I")
-    for w in words:
-        ids.extend(entries[w])
-        starts.append(len(ids))
-    labels += bytes(-len(labels) % 4)
-    parts = [first.tobytes(), bytes(final) + bytes(-len(final) % 4), targets.tobytes(), outputs.tobytes(), starts.tobytes(), ids.tobytes(), bytes(labels)]
-    return struct.pack("<8I", root, *map(len, parts)) + b"".join(parts)
+        if not out:
+            continue
+        used += bytes(max(0, low + 4096 - len(used)))
+        low = slot = used.find(0, low)
+        for tries in count():
+            at = slot - labels[0] if tries < 64 else high
+            used += bytes(max(0, at + 257 - len(used)))
+            if at >= 0 and not any(used[at + b] for b in labels):
+                break
+            slot = used.find(0, slot + 1)
+            if slot < 0:
+                slot = len(used)
+        base[s] = at
+        for (b, target), first in zip(out, outputs):
+            used[at + b] = 1
+            high = max(high, at + b + 1)
+            slots.append((at + b, s, target, first))
+    size = int(base.max(initial=0)) + 257
+    table = np.full((3, size), -1, np.int32)
+    if slots:
+        got = np.array(slots, np.int32).T
+        table[:, got[0]] = got[1:]
+    starts = np.cumsum([0, *(len(entries[w]) for w in words)], dtype=np.int32)
+    ids = np.array([x for w in words for x in entries[w]], np.int32)
+    parts = [base, np.array(final, np.int32), *table, starts, ids]
+    return struct.pack("<8i", root, *map(len, parts)) + b"".join(p.tobytes() for p in parts)
 
 
 class Lexicon:
@@ -174,28 +220,40 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        self.root, *sizes = struct.unpack("<8I", self.map[:32])
-        view, at, parts = memoryview(self.map), 32, []
+        self.root, *sizes = struct.unpack("<8i", self.map[:32])
+        at, parts = 32, []
         for n in sizes:
-            parts.append(view[at : at + n])
-            at += n
-        self.first, self.targets, self.outputs, self.starts, self.ids = (parts[k].cast("I") for k in (0, 2, 3, 4, 5))
-        self.final, self.labels_at = parts[1], at - sizes[-1]
-
-    def rank(self, word: bytes) -> int | None:
-        """The sum of the outputs along the word's path, or None if the path isn't there."""
-        state, out, find, first, at = self.root, 0, self.map.find, self.first, self.labels_at
-        for k in range(len(word)):
-            arc = find(word[k : k + 1], at + first[state], at + first[state + 1]) - at
-            if arc < 0:
-                return None
-            out += self.outputs[arc]
-            state = self.targets[arc]
-        return out if self.final[state] else None
-
-    def get(self, word: bytes) -> list[int] | None:
-        k = self.rank(word)
-        return None if k is None else self.ids[self.starts[k] : self.starts[k + 1]].tolist()
+            parts.append(np.frombuffer(self.map, np.int32, n, at))
+            at += 4 * n
+        self.base, self.final, self.owner, self.target, self.output, self.starts, self.ids = parts
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """For each word the sum of the outputs along its path, or -1 if the path isn't there; all words step together."""
+        text = np.frombuffer(b"".join(words), np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        state, rank = np.full(len(words), self.root), np.zeros(len(words), np.int64)
+        alive = np.flatnonzero(size <= LONGEST)
+        done = np.full(len(words), -1, np.int64)
+        step = 0
+        while len(alive):
+            ends = size[alive] == step
+            e = alive[ends]
+            done[e] = np.where(self.final[state[e]] == 1, rank[e], -1)
+            alive = alive[~ends]
+            slot = self.base[state[alive]] + text[start[alive] + step]
+            there = self.owner[slot] == state[alive]
+            alive, slot = alive[there], slot[there]
+            rank[alive] += self.output[slot]
+            state[alive] = self.target[slot]
+            step += 1
+        return done
+
+    def get_many(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """Each word's ids; None for words that aren't accepted."""
+        ranks = self.ranks(words)
+        first, last = self.starts[ranks].tolist(), self.starts[ranks + 1].tolist()
+        return [None if k < 0 else tuple(self.ids[a:b].tolist()) for k, a, b in zip(ranks.tolist(), first, last)]
 
 
 @lru_cache(4)
@@ -213,8 +271,8 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
             for text in b.column(0).to_pylist():
                 for piece, special in voc.pieces(text or ""):
                     if special is None:
-                        total.update(WORD.findall(piece))
-            if len(total) > 60_000:
+                        total.update(split_words(piece))
+            if len(total) > 100_000:
                 yield _counted(total)
                 total = Counter()
         yield _counted(total)
@@ -241,32 +299,27 @@ def make_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS) -> st
 
 
 class Encoder:
-    """Encodes and decodes texts; of the words of recent texts, MOST_KNOWN at most, the ids are kept."""
+    """Encodes and decodes texts; of the words of recent texts, about MOST_KNOWN, the ids are kept."""
 
-    MOST_KNOWN = 100_000
+    MOST_KNOWN = 200_000
 
     def __init__(self, voc: Vocabulary, lex: Lexicon):
         self.voc, self.lex, self.known = voc, lex, {}
 
-    def word(self, w: str) -> tuple[int, ...]:
-        raw = w.encode()
-        got = self.lex.get(raw)
-        return tuple(self.voc.merge(raw) if got is None else got)
-
-    def encode(self, text: str) -> list[int]:
-        out, known = [], self.known
-        if len(known) > self.MOST_KNOWN:
-            known.clear()
-        for piece, special in self.voc.pieces(text):
-            if special is not None:
-                out.append(special)
-                continue
-            for w in WORD.findall(piece):
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = self.word(w)
-                out += ids
-        return out
+    def learn(self, words: set[str]) -> None:
+        """Looks up all words that aren't known at once, and merges those that the lexicon doesn't have."""
+        if len(self.known) > self.MOST_KNOWN:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        raw = [w.encode() for w in new]
+        for w, r, ids in zip(new, raw, self.lex.get_many(raw)):
+            self.known[w] = tuple(self.voc.merge(r)) if ids is None else ids
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        cut = [[(p, special) if special is not None else (split_words(p), None) for p, special in self.voc.pieces(t or "")] for t in texts]
+        self.learn({w for pieces in cut for p, special in pieces if special is None for w in p})
+        ids_of = self.known.__getitem__
+        return [[i for p, special in pieces for i in ((special,) if special is not None else chain.from_iterable(map(ids_of, p)))] if len(pieces) != 1 or pieces[0][1] is not None else list(chain.from_iterable(map(ids_of, pieces[0][0]))) for pieces in cut]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.voc.token.__getitem__, ids)).decode("utf-8", "replace")
@@ -298,8 +351,7 @@ def _run(docs: DataFrame, path: str | None, n_words: int, digests: bool) -> Data
         text_of = [str(i) for i in range(max(voc.token) + 1)]
         for b in slices(batches):
             rows = []
-            for text in b.column(1).to_pylist():
-                ids = coder.encode(text or "")
+            for ids in coder.encode(b.column(1).to_pylist()):
                 if digests:
                     listed = ",".join(map(text_of.__getitem__, ids))
                     rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(coder.decode(ids).encode()).hexdigest()))
