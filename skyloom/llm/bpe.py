@@ -35,7 +35,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table
+from .common import materialise, ship, slices, table
+from .quality_rules import edge
 
 #: Words in the lexicon at most, and the longest that enter it, in bytes.
 LEXICON_WORDS, LONGEST = 1 << 16, 64
@@ -285,9 +286,24 @@ def _counted(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([total[w] for w in kept], pa.int64())], names=["word", "n"])
 
 
+def frequent_words(docs: DataFrame, path: str, n_words: int) -> list[str]:
+    """About n_words of the words with the highest counts: all above a bucket of counts, and of that bucket a share picked by hash. No task sorts or merges words."""
+    counts = materialise(count_words(docs, path).withColumn("bucket", F.expr(edge("n"))), "bpe-counts")
+    room, last, share = n_words, None, 0.0
+    for r in sorted(counts.groupBy("bucket").agg(F.count("*").alias("words")).collect(), reverse=True):
+        last, share = r["bucket"], min(1.0, room / r["words"])
+        room -= r["words"]
+        if room <= 0:
+            break
+    if last is None:
+        return []
+    picked = (F.col("bucket") > last) | (F.col("bucket") == last) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return sorted(counts.filter(picked).select("word").toArrow()["word"].to_pylist())
+
+
 def make_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS) -> str:
-    """Compiles the n_words most frequent words and sends the file to the executors; returns its name there. The driver gets n_words rows."""
-    top = count_words(docs, path).orderBy(F.desc("n"), "word").limit(n_words).toArrow()["word"].to_pylist()
+    """Compiles the most frequent words and sends the file to the executors; returns its name there. The driver gets about n_words rows."""
+    top = frequent_words(docs, path, n_words)
     voc = vocabulary(path)
     data = build_lexicon({w.encode(): voc.merge(w.encode()) for w in top})
     name = f"lexicon_{uuid.uuid4().hex}.bin"

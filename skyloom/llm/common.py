@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir  # noqa: F401
+
 #: Runs of white space as the result contracts define it (blank and TAB to CR).
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -20,19 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
-    conf = spark.sparkContext.getConf()
-    return (conf.get("spark.checkpoint.dir", None) or f"file:/tmp/checkpoints/{conf.get('spark.app.id', 'local')}").rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors, and gives joins a known size."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
