@@ -206,7 +206,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their class's, each doc_id once, and those without a doc_id; with all their columns."""
     keep = materialise(jaccard_classes(docs).filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_times")), "jaccard-kept")
     repeated = bool(keep.filter("_times > 1").head(1))
-    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")), F.col("doc_id") == F.col("_keep"), "left_semi")
+    # What is kept grows with the input, so it is shuffled at every size.
+    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")).hint("merge"), F.col("doc_id") == F.col("_keep"), "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL"))
