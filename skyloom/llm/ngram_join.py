@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, slices, table, utf8
+from .common import materialise, ship, slices, table, utf8, whole_rows
 from .graph import components
 from .license_scan import words_of
 
@@ -206,11 +206,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is their class's, each doc_id once, and those without a doc_id; with all their columns."""
     keep = materialise(jaccard_classes(docs).filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_times")), "jaccard-kept")
     repeated = bool(keep.filter("_times > 1").head(1))
+    rows = whole_rows(docs).withColumn("_id", F.col("doc.doc_id"))
     # What is kept grows with the input, so it is shuffled at every size.
-    kept = docs.join(keep.select(F.col("doc_id").alias("_keep")).hint("merge"), F.col("doc_id") == F.col("_keep"), "left_semi")
+    kept = rows.join(keep.select(F.col("doc_id").alias("_keep")).hint("merge"), F.col("_id") == F.col("_keep"), "left_semi")
     if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+        kept = kept.dropDuplicates(["_id"])
+    return kept.unionByName(rows.filter("_id IS NULL")).select("doc.*")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
