@@ -24,14 +24,15 @@ def _or_fail(value: Column, what: str, line: Column) -> Column:
 def parse_lines(lines: DataFrame, n_mags: int = 0, flags: bool = False, id_column: str | None = None) -> DataFrame:
     """Catalogue rows from a column `value` of lines `ra dec [mag ..] rest`. The payload `line` is the whole line; with flags
     a leading * (density only) or ! (cluster only) is taken off. Magnitudes of density-only rows aren't read. Without an id
-    column, ids number the lines as they are read, which is stable for one read of one file only."""
+    column, ids number the lines as they are read, which is stable for one read of one file only; in a stream they are hashes of
+    the lines."""
     d = lines.withColumn("value", F.regexp_replace("value", "[\r\n]+$", ""))
     flag = F.regexp_extract("value", r"^\s*([*!]?)", 1) if flags else F.lit("")
     d = d.withColumns({"_flag": flag, "line": F.regexp_replace("value", r"^\s*[*!]", "") if flags else F.col("value")})
     d = d.filter(F.trim("line") != "").withColumn("_f", F.split(F.trim("line"), r"\s+"))
     field = lambda k: F.get("_f", F.lit(k))
     mags = [F.when(F.col("_flag") == "*", None).otherwise(_or_fail(field(2 + k).try_cast("double"), "a magnitude", F.col("line"))) for k in range(n_mags)]
-    key = F.col(id_column) if id_column else F.monotonically_increasing_id()
+    key = F.col(id_column) if id_column else F.xxhash64("value") if lines.isStreaming else F.monotonically_increasing_id()
     d = d.withColumns({"_id": key, "_ra": _or_fail(parse_ra(field(0)), "a right ascension", F.col("line")), "_dec": _or_fail(parse_dec(field(1)), "a declination", F.col("line")), "use_cluster": F.col("_flag") != "*", "use_density": F.col("_flag") != "!"})
     tail = F.regexp_replace("line", r"^\s*\S+\s+\S+", "")
     return catalog(d.withColumn("tail", tail), F.col("_id"), F.col("_ra"), F.col("_dec"), mags, "line", "tail", "use_cluster", "use_density")
