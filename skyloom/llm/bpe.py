@@ -39,7 +39,7 @@ from .common import materialise, ship, slices, table
 from .quality_rules import edge
 
 #: Words in the lexicon at most, and the longest that enter it, in bytes.
-LEXICON_WORDS, LONGEST = 1 << 16, 64
+LEXICON_WORDS, LONGEST = 1 << 17, 64
 _NO_RANK = 1 << 62
 #: White space as the library's regular expressions have it: Unicode's White_Space, without U+001C to U+001F.
 _S = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -106,7 +106,7 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of least rank, the leftmost of equals; for long words with a heap over a linked list."""
-        ids: list = [self.byte_id[b] for b in word]
+        ids: list = list(map(self.byte_id.__getitem__, word))
         n = len(ids)
         if n <= LONGEST:
             get = self.rank_of.get
@@ -273,7 +273,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
                 for piece, special in voc.pieces(text or ""):
                     if special is None:
                         total.update(split_words(piece))
-            if len(total) > 100_000:
+            if len(total) > 250_000:
                 yield _counted(total)
                 total = Counter()
         yield _counted(total)
@@ -317,7 +317,7 @@ def make_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS) -> st
 class Encoder:
     """Encodes and decodes texts; of the words of recent texts, about MOST_KNOWN, the ids are kept."""
 
-    MOST_KNOWN = 200_000
+    MOST_KNOWN = 500_000
 
     def __init__(self, voc: Vocabulary, lex: Lexicon):
         self.voc, self.lex, self.known = voc, lex, {}
@@ -333,7 +333,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [[(p, special) if special is not None else (split_words(p), None) for p, special in self.voc.pieces(t or "")] for t in texts]
-        self.learn({w for pieces in cut for p, special in pieces if special is None for w in p})
+        self.learn(set(chain.from_iterable(p for pieces in cut for p, special in pieces if special is None)))
         ids_of = self.known.__getitem__
         return [[i for p, special in pieces for i in ((special,) if special is not None else chain.from_iterable(map(ids_of, p)))] if len(pieces) != 1 or pieces[0][1] is not None else list(chain.from_iterable(map(ids_of, pieces[0][0]))) for pieces in cut]
 
@@ -341,11 +341,6 @@ class Encoder:
         return b"".join(map(self.voc.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(2)
-def encoder(path: str, lexicon_path: str) -> Encoder:
-    return Encoder(vocabulary(path), lexicon(lexicon_path))
-
-
 def encoded(docs: DataFrame, path: str | None = None, n_words: int = LEXICON_WORDS) -> DataFrame:
     """doc_id, ids (array of int) for every row of docs."""
     return _run(docs, path, n_words, False)
@@ -362,7 +357,7 @@ def _run(docs: DataFrame, path: str | None, n_words: int, digests: bool) -> Data
     name = make_lexicon(docs, path, n_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, SparkFiles.get(name))
+        coder = Encoder(vocabulary(path), lexicon(SparkFiles.get(name)))
         voc = coder.voc
         text_of = [str(i) for i in range(max(voc.token) + 1)]
         for b in slices(batches):
