@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.conejoin import cone_pairs
 from ..operators.linear import score
 from ..sources.catalog import parse_lines
+from ..storage import materialise
 
 
 def stream_lines(spark: SparkSession, path: str, n_mags: int = 0, id_column: str | None = None) -> DataFrame:
@@ -15,8 +16,8 @@ def stream_lines(spark: SparkSession, path: str, n_mags: int = 0, id_column: str
 
 
 def stream_cone_join(static: DataFrame, stream: DataFrame, radius: float, dmag: list[float] | None = None, **options) -> DataFrame:
-    """All partners in `static` of each streamed row; no state is kept, so no watermark is needed."""
-    return cone_pairs(static, stream, radius, dmag, **options)
+    """All partners in `static` of each streamed row; no state is kept, so no watermark is needed. The static side is written out once."""
+    return cone_pairs(materialise(static, "static-catalogue"), stream, radius, dmag, **options)
 
 
 def stream_scores(rows: DataFrame, weights: list[float]) -> DataFrame:
