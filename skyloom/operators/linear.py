@@ -10,9 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: Cells up to which a fit runs on the driver.
 LOCAL_CELLS = 2_000_000
 
@@ -116,3 +118,22 @@ def confusion(rows: DataFrame, weights: list[float]) -> DataFrame:
     n = lambda c: F.sum(c.cast("long"))
     t = rows.agg(n((z > 0) & (F.col("y") == 1)).alias("tp"), n((z > 0) & (F.col("y") == 0)).alias("fp"), n(F.col("y") == 1).alias("np"), n(F.col("y") == 0).alias("nn"))
     return t.withColumns({"tpr": F.try_divide("tp", "np"), "fpr": F.try_divide("fp", "nn"), "precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "accuracy": F.try_divide(F.col("tp") + F.col("nn") - F.col("fp"), F.col("np") + F.col("nn"))})
+
+
+def best_threshold(rows: DataFrame) -> DataFrame:
+    """One row, cut and gain: `score > cut` as class 1 has the largest TPR - FPR; ties go to the least cut. rows: score, y (0 or 1).
+
+    No row comes out if a class is missing; rows with a null or NaN score or a null y count for nothing. Counts are summed
+    for each score, ranges of scores are summed on their own, and only the ranges' totals meet in one window."""
+    n = lambda k: F.sum((F.col("y") == k).cast("decimal(38,0)"))
+    by_score = rows.filter("score IS NOT NULL AND NOT isnan(score) AND y IS NOT NULL").groupBy("score").agg(n(1).alias("p"), n(0).alias("q"))
+    parts = materialise(by_score.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "threshold-scores")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    totals = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("decimal(38,0)").alias(f"{c}0") for c in ("p", "q")])
+    whole = parts.agg(F.sum("p").cast("double").alias("np"), F.sum("q").cast("double").alias("nq")).first()
+    upto = Window.partitionBy("part").orderBy("score")
+    cum = parts.join(totals, "part").select("score", *[(F.sum(c).over(upto) + F.col(f"{c}0")).cast("double").alias(c) for c in ("p", "q")])
+    gain = F.col("q") / F.lit(whole["nq"] or None) - F.col("p") / F.lit(whole["np"] or None)
+    best = cum.select("score", F.round(gain, 12).alias("gain")).filter("gain IS NOT NULL")
+    return best.agg(F.max_by("score", F.struct("gain", (-F.col("score")).alias("s"))).alias("cut"), F.max("gain").alias("gain")).filter("gain IS NOT NULL")

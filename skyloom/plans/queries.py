@@ -157,6 +157,11 @@ def neighbour_pairs(s, d):
     return K.neighbour_pairs(cust(s, d), SEP)
 
 
+@query("SELECT members FROM (WITH RECURSIVE f AS (SELECT a, list(b ORDER BY b) AS next FROM nb GROUP BY a), s AS (SELECT [a] AS m, next AS c FROM f UNION ALL SELECT list_append(s.m, s.c[1]), list_filter(s.c[2:], lambda x: list_contains(coalesce(f.next, []), x)) FROM s LEFT JOIN f ON f.a = s.c[1] WHERE len(s.c) > 0) SELECT array_to_string(m, ',') AS members FROM s WHERE len(c) = 0 AND len(m) >= 3)")
+def greedy_clusters(s, d):
+    return K.greedy_clusters(cust(s, d), SEP).select(F.expr("array_join(transform(members, x -> CAST(x AS STRING)), ',')").alias("members"))
+
+
 _TRIPLES = "t3 AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM nb x JOIN nb y ON y.a = x.b JOIN nb z ON z.a = x.a AND z.b = y.b), t4 AS (SELECT t.*, n.b AS d FROM t3 t JOIN nb n ON n.a = t.c JOIN nb m ON m.a = t.a AND m.b = n.b JOIN nb k ON k.a = t.b AND k.b = n.b)"
 _MEMBERS = "array_join(transform(members, x -> CAST(x AS STRING)), ',')"
 
@@ -533,6 +538,18 @@ def split_confusion(s, d):
     return W.confusion(_rows(s, d), list(WEIGHTS)).select("tp", "fp", "np", "nn", r6("accuracy").alias("accuracy"))
 
 
+@query("z AS (SELECT x0 AS score, sum(sum(c)) OVER (ORDER BY x0) AS p, sum(sum(1 - c)) OVER (ORDER BY x0) AS q, sum(sum(c)) OVER () AS np, sum(sum(1 - c)) OVER () AS nq FROM ln GROUP BY x0), g AS (SELECT score, round(q / nq - p / np, 12) AS gain FROM z) SELECT score AS cut, round(gain, 9) AS gain FROM g ORDER BY g.gain DESC, score LIMIT 1")
+def best_threshold(s, d):
+    return W.best_threshold(_lines(s, d).select(F.col("x0").alias("score"), F.col("c").alias("y"))).select("cut", F.round("gain", 9).alias("gain"))
+
+
+@query("SELECT obj_id, ra, d1 AS dec, b FROM (SELECT c_custkey::BIGINT AS obj_id, (c_custkey * 7 % 360)::DOUBLE AS ra, (c_custkey * 13 % 181 - 90)::DOUBLE AS d1, (c_custkey * 29 % 181 - 90)::DOUBLE AS b, (c_custkey % 3)::DOUBLE AS pm FROM customer) WHERE ra BETWEEN 49 AND 201 AND d1 BETWEEN -41 AND 31 AND abs(b) >= 19 AND pm < 0.5")
+def region_filter(s, d):
+    k = F.col("c_custkey")
+    t = table(s, d, "customer").select(k.cast("long").alias("obj_id"), (k * 7 % 360).cast("double").alias("ra"), (k * 13 % 181 - 90).cast("double").alias("dec"), (k * 29 % 181 - 90).cast("double").alias("b"), F.lit(0.0).alias("parallax"), (k % 3).cast("double").alias("pmra"), F.lit(0.0).alias("pmdec"))
+    return cat.region(t, (50, 200), (-40, 30), 20, 1, still=0.5).select("obj_id", "ra", "dec", "b")
+
+
 @query()
 def split_fit(s, d):
     rows = _lines(s, d).select("l_orderkey", (F.col("x0") > 25).cast("double").alias("y"), F.array((F.col("x0") - 25) / 25).alias("x"))

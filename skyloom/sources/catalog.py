@@ -95,3 +95,16 @@ def format_positions(df: DataFrame, form: str = "sph", digits: int = 6) -> DataF
     else:
         raise ValueError(f"unknown conversion {form}")
     return df.select(F.concat(F.concat_ws(" ", *parts), F.col("tail")).alias("value"))
+
+
+def region(df: DataFrame, ra: tuple[float, float] = (0.0, 360.0), dec: tuple[float, float] = (-90.0, 90.0), absb: float = 0.0, margin: float = 0.0, still: float | None = None) -> DataFrame:
+    """Rows of df within the box of ra and dec and at a galactic latitude b of absb at least, all in degrees and widened by margin.
+
+    With `still`, parallax, pmra and pmdec must be smaller than that in size; null ones drop the row. All terms are plain
+    comparisons, which reach a Parquet scan."""
+    kept = df.filter(F.col("ra").between(ra[0] - margin, ra[1] + margin) & F.col("dec").between(dec[0] - margin, dec[1] + margin))
+    if absb - margin > 0:
+        kept = kept.filter((F.col("b") >= absb - margin) | (F.col("b") <= margin - absb))
+    for c in ("parallax", "pmra", "pmdec") if still is not None else ():
+        kept = kept.filter((F.col(c) > -still) & (F.col(c) < still))
+    return kept

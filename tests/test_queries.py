@@ -111,3 +111,19 @@ def test_empty_catalogues(spark, sf):
     none = Q.cust(spark, sf).limit(0)
     assert J.cone_join(none, Q.cust(spark, sf), 0.1, how="count").filter("n > 0").count() == 0
     assert K.clusters(none, 0.1).count() == 0
+
+
+def test_threshold_needs_both_classes(spark):
+    from skyloom.operators.linear import best_threshold
+
+    frame = lambda rows: spark.createDataFrame(rows, "score double, y int")
+    assert best_threshold(frame([])).collect() == []
+    assert best_threshold(frame([(1.0, 1), (2.0, 1)])).collect() == []
+    got = best_threshold(frame([(1.0, 0), (1.0, 0), (2.0, 0), (3.0, 1), (4.0, 1), (None, 1), (float("nan"), 0), (9.0, None)])).first()
+    assert (got["cut"], got["gain"]) == (2.0, 1.0)
+
+
+def test_greedy_clusters_of_an_empty_catalogue(spark, sf):
+    from skyloom.operators.clusters import greedy_clusters
+
+    assert greedy_clusters(Q.cust(spark, sf).limit(0), Q.SEP).collect() == []
