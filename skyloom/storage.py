@@ -7,14 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows for each file at least, where a table's rows are known to be bounded.
+ROWS_PER_FILE = 250_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is set, as in tests."""
     conf = spark.sparkContext.getConf()
     return (conf.get("spark.checkpoint.dir", None) or f"file:/tmp/checkpoints/{conf.get('spark.app.id', 'local')}").rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors, and gives joins a known size."""
+def materialise(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors, and gives joins a known size.
+
+    Given the most rows that df may have, it is written in as many tasks as ROWS_PER_FILE asks for, or as there are cores
+    if those are more, so that a small table dealt over many partitions isn't written as many tiny files. For tables whose
+    last step is an aggregate or join on keys that don't repeat: nothing else comes into the fewer tasks."""
+    if most_rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most_rows // ROWS_PER_FILE)))
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
