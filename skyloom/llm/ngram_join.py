@@ -162,16 +162,17 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     bands, rows = bands_and_rows(threshold, recall)
     exact = Fraction(threshold).limit_denominator(1000)
     sig = materialise(signatures(docs, n, bands, rows), "jaccard-signatures")
-    texts = materialise(sig.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-texts")
+    n_docs = sig.count()  # from the files' footers
+    texts = materialise(sig.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-texts", n_docs)
     reps = sig.withColumnRenamed("doc_id", "rep").join(texts, ["fp", "rep"]).dropDuplicates(["fp", "rep"])
-    keys = materialise(reps.select("rep", F.explode("bands").alias("band")), "jaccard-bands")
-    buckets = materialise(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1").drop("n"), "jaccard-buckets")
+    keys = materialise(reps.select("rep", F.explode("bands").alias("band")), "jaccard-bands", n_docs * bands)
+    buckets = materialise(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1").drop("n"), "jaccard-buckets", n_docs * bands // 2)
     edges = keys.join(buckets, "band").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    comp = materialise(components(edges), "jaccard-components")
+    comp = materialise(components(edges), "jaccard-components", n_docs)
     sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
     members = comp.join(sizes, "comp").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = materialise(members.join(texts, members["node"] == texts["rep"]).select("node", "comp", "part", "parts", "copies", "fp"), "jaccard-members")
+    members = materialise(members.join(texts, members["node"] == texts["rep"]).select("node", "comp", "part", "parts", "copies", "fp"), "jaccard-members", n_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -197,7 +198,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = whole.unionByName(split).groupBy("node").agg(F.min("comp").alias("comp"))
     by_text = texts.join(links, texts["rep"] == links["node"], "left").drop("node").join(classes, F.col("rep") == classes["node"], "left")
-    by_text = materialise(by_text.select("fp", F.least("rep", F.coalesce("comp", "rep")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-classes")
+    by_text = materialise(by_text.select("fp", F.least("rep", F.coalesce("comp", "rep")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-classes", n_docs)
     there = sig.filter("fp IS NOT NULL").select("doc_id", "fp").join(by_text, "fp").select("doc_id", "class_id", "n_links")
     return there.unionByName(sig.filter("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
