@@ -109,8 +109,10 @@ def combine(votes: DataFrame, mode: str = "R") -> DataFrame:
     total = F.aggregate(F.map_values("classes"), F.lit(0).cast("long"), lambda s, n: s + n)
     p = votes.select("row_id", F.explode("classes").alias("c", "n"), total.alias("t")).groupBy("row_id", "c").agg(F.sum(F.col("n") / F.col("t")).alias("p"))
     n = votes.groupBy("row_id").agg(F.count("*").alias("trees"))
-    best = p.groupBy("row_id").agg(F.max(F.struct("p", (-F.col("c")).alias("c"))).alias("m")).join(n, "row_id")
-    return best.select("row_id", (-F.col("m.c")).cast("double").alias("value"), F.greatest(F.lit(0.0), 1 - F.col("m.p") / F.col("trees")).alias("uncertainty"))
+    # Equal shares differ in their last bits by the order of the sums, so they are compared rounded.
+    share = p.join(n, "row_id").withColumn("p", F.col("p") / F.col("trees"))
+    best = share.groupBy("row_id").agg(F.max(F.struct(F.round("p", 12).alias("r"), (-F.col("c")).alias("c"), "p")).alias("m"))
+    return best.select("row_id", (-F.col("m.c")).cast("double").alias("value"), F.greatest(F.lit(0.0), 1 - F.col("m.p")).alias("uncertainty"))
 
 
 def predict(rows: DataFrame, model: DataFrame, mode: str = "R") -> DataFrame:

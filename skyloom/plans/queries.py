@@ -478,7 +478,7 @@ def ert_combine_periodic(s, d):
 @query(_VOTES + f"SELECT row_id, CASE WHEN round(p0, 12) >= round(1 - p0, 12) THEN 0.0 ELSE 1.0 END::DOUBLE AS value, {q6('1 - greatest(p0, 1 - p0)')} AS uncertainty FROM (SELECT row_id, avg(n0::DOUBLE / (n0 + n1)) AS p0 FROM v GROUP BY row_id) WHERE abs(p0 - 0.5) > 1e-9")
 def ert_combine_class(s, d):
     c = R.combine(_votes(s, d), "C")
-    return c.filter(F.abs(F.col("uncertainty") - 0.5) > 1e-9).select("row_id", (F.col("value") + 0.0).alias("value"), r6("uncertainty").alias("uncertainty"))
+    return c.select("row_id", (F.col("value") + 0.0).alias("value"), r6("uncertainty").alias("uncertainty"))
 
 
 @query()

@@ -127,3 +127,15 @@ def test_greedy_clusters_of_an_empty_catalogue(spark, sf):
     from skyloom.operators.clusters import greedy_clusters
 
     assert greedy_clusters(Q.cust(spark, sf).limit(0), Q.SEP).collect() == []
+
+
+def test_tied_classes_are_kept(spark, sf, same):
+    from skyloom.operators import trees as R
+
+    # The SQL without its filter, so over all orders.
+    assert same(Q.ert_combine_class, Q.SQL["ert_combine_class"].replace(" WHERE abs(p0 - 0.5) > 1e-9", "")) == Q.table(spark, sf, "orders").count()
+    # Halves whose sums differ in their last bits by the order of the trees.
+    shares = [(1, 9), (2, 8), (3, 7), (7, 3), (8, 2), (9, 1)]
+    for order in (shares, shares[::-1], shares[::2] + shares[1::2]):
+        votes = spark.createDataFrame([(1, k, {0: a, 1: b}) for k, (a, b) in enumerate(order)], "row_id long, tree int, classes map<int,bigint>").coalesce(1)
+        assert [(r["value"], round(r["uncertainty"], 9)) for r in R.combine(votes, "C").collect()] == [(0.0, 0.5)]
