@@ -218,7 +218,7 @@ def angle_parse(s, d):
 def position_parse(s, d):
     p = F.col("p_partkey")
     text = F.concat(F.when(p % 2 == 0, F.lit("")).otherwise(F.lit("-")), F.concat_ws(":", (p % 20).cast("string"), (p % 60).cast("string"), (p % 60).cast("string")))
-    return table(s, d, "part").filter(p % 60 != 0).select("p_partkey", r6(A.parse_ra(text), 9).alias("ra"), r6(A.parse_dec(F.concat((p % 90).cast("string"), F.lit("d"))), 9).alias("dec"))
+    return table(s, d, "part").select("p_partkey", r6(A.parse_ra(text), 9).alias("ra"), r6(A.parse_dec(F.concat((p % 90).cast("string"), F.lit("d"))), 9).alias("dec"))
 
 
 @query("SELECT obj_id, " + ", ".join(f"{q6(c, 9)} AS {c}" for c in ("ux", "uy", "uz")) + " FROM cust")

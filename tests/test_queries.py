@@ -139,3 +139,10 @@ def test_tied_classes_are_kept(spark, sf, same):
     for order in (shares, shares[::-1], shares[::2] + shares[1::2]):
         votes = spark.createDataFrame([(1, k, {0: a, 1: b}) for k, (a, b) in enumerate(order)], "row_id long, tree int, classes map<int,bigint>").coalesce(1)
         assert [(r["value"], round(r["uncertainty"], 9)) for r in R.combine(votes, "C").collect()] == [(0.0, 0.5)]
+
+
+def test_all_positions_are_parsed(spark, sf, same):
+    # The SQL without its filter: the texts 0:0:0 count too.
+    assert same(Q.position_parse, Q.SQL["position_parse"].replace(" WHERE p_partkey % 60 <> 0", "")) == Q.table(spark, sf, "part").count()
+    zero = [r for r in Q.position_parse(spark, sf).collect() if r["p_partkey"] % 60 == 0]
+    assert zero and all(r["ra"] == 0 for r in zero)
