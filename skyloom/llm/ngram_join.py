@@ -1,8 +1,8 @@
 """n-gram Jaccard self-join by MinHash banding, with whole n-gram sets to verify.
 
 1. A text's words (runs of letters, digits and non-ASCII characters, A-Z in lower case) form the set of its N-grams, or
-   one gram of all its words if it has fewer than N. Texts with the same words are one text from here on, with the
-   number of their copies and the least doc_id as representative.
+   one gram of all its words if it has fewer than N. Texts with the same words are one text from here on, a node, with
+   the number of their copies and the least doc_id as representative. Texts that share a doc_id stay nodes of their own.
 2. Representatives are shuffled on the hashes of the bands of their MinHash signature. Bands and rows are chosen so that
    a pair at the threshold shares a band with probability TARGET_RECALL at least. In a bucket each member is linked with
    the least one, so a bucket of k gives k - 1 candidate edges, and the edges' components hold every candidate pair.
@@ -13,7 +13,7 @@
 Result: for each row of the input doc_id, class_id (least doc_id that it is linked with by links or copies, itself
 included) and n_links (other rows with the same words or a similarity of the threshold or more). Texts without words,
 null ones too, and rows without a doc_id are linked with nothing. Rows that repeat a doc_id and its words count as
-copies. An empty table gives an empty result; other columns, whatever their names, don't matter.
+copies; rows that repeat it with other words are judged each by its own text. An empty table gives an empty result; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship, slices, table, utf8, whole_rows
@@ -157,22 +157,22 @@ def verify_block(key: tuple, members: pa.Table, threshold: Fraction) -> pa.Table
     return pa.table({"node": node, "links": links.astype(np.int64), "root": node[_roots(link)], "parts": members["parts"].to_numpy()[first]})
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id, n_links for every row of docs."""
+def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, fp and first (the row's text is the one that stands for its class) for every row of docs."""
     bands, rows = bands_and_rows(threshold, recall)
     exact = Fraction(threshold).limit_denominator(1000)
     sig = materialise(signatures(docs, n, bands, rows), "jaccard-signatures")
     n_docs = sig.count()  # from the files' footers
-    texts = materialise(sig.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jaccard-texts", n_docs)
+    texts = materialise(sig.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "jaccard-texts", n_docs)
     reps = sig.withColumnRenamed("doc_id", "rep").join(texts, ["fp", "rep"]).dropDuplicates(["fp", "rep"])
-    keys = materialise(reps.select("rep", F.explode("bands").alias("band")), "jaccard-bands", n_docs * bands)
-    buckets = materialise(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1").drop("n"), "jaccard-buckets", n_docs * bands // 2)
-    edges = keys.join(buckets, "band").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    keys = materialise(reps.select("node", F.explode("bands").alias("band")), "jaccard-bands", n_docs * bands)
+    buckets = materialise(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "jaccard-buckets", n_docs * bands // 2)
+    edges = keys.join(buckets, "band").select(F.col("node").alias("a"), F.col("least").alias("b"))
     comp = materialise(components(edges), "jaccard-components", n_docs)
     sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
     members = comp.join(sizes, "comp").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = materialise(members.join(texts, members["node"] == texts["rep"]).select("node", "comp", "part", "parts", "copies", "fp"), "jaccard-members", n_docs)
+    members = materialise(members.join(texts, "node").select("node", "rep", "comp", "part", "parts", "copies", "fp"), "jaccard-members", n_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -187,7 +187,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
             yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("node", "comp", "part", "parts", "copies")], pa.array(found, pa.binary())], names=["node", "comp", "part", "parts", "copies", "grams"])
 
     # Members grow with the input, so they are shuffled at every size.
-    got = docs.selectExpr("CAST(doc_id AS BIGINT) AS node", "text").join(members.hint("merge"), "node")
+    got = docs.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text").join(members.hint("merge"), "rep")
     got = got.mapInArrow(run, "node long, comp long, part int, parts int, copies long, grams binary")
     # Each member goes to every block that pairs its part with another, or with itself.
     got = got.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "_o"), "high": F.greatest("part", "_o")}).drop("_o")
@@ -197,21 +197,42 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     whole = checked.filter("parts = 1").select("node", F.col("root").alias("comp"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = whole.unionByName(split).groupBy("node").agg(F.min("comp").alias("comp"))
-    by_text = texts.join(links, texts["rep"] == links["node"], "left").drop("node").join(classes, F.col("rep") == classes["node"], "left")
-    by_text = materialise(by_text.select("fp", F.least("rep", F.coalesce("comp", "rep")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-classes", n_docs)
-    there = sig.filter("fp IS NOT NULL").select("doc_id", "fp").join(by_text, "fp").select("doc_id", "class_id", "n_links")
-    return there.unionByName(sig.filter("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    least = classes.join(texts.select("node", "rep"), "node").groupBy("comp").agg(F.min(F.struct("rep", "node")).alias("least"))
+    by_text = texts.join(links, "node", "left").join(classes.join(least, "comp").select("node", "least"), "node", "left")
+    by_text = materialise(by_text.select("fp", F.coalesce("least.rep", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce(F.col("least.node") == F.col("node"), F.lit(True)).alias("first")), "jaccard-classes", n_docs)
+    there = sig.filter("fp IS NOT NULL").select("doc_id", "fp").join(by_text, "fp").select("doc_id", "class_id", "n_links", "fp", "first")
+    return there.unionByName(sig.filter("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "fp", F.lit(True).alias("first")))
+
+
+def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, class_id, n_links for every row of docs."""
+    return _classes(docs, n, threshold, recall).select("doc_id", "class_id", "n_links")
+
+
+def fingerprints(text: Column) -> Column:
+    """The fp of signatures for each text; empty if it has no words."""
+
+    @F.arrow_udf("binary")
+    def run(t: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if (w := words_of(x)) else b"" for x in utf8(t)], pa.binary())
+
+    return run(text)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their class's, each doc_id once, and those without a doc_id; with all their columns."""
-    keep = materialise(jaccard_classes(docs).filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_times")), "jaccard-kept")
+    """The row of docs that stands for each class, of rows that repeat its doc_id and words one, and those without a doc_id; with all their columns."""
+    stands = F.when(F.col("first") & (F.col("doc_id") == F.col("class_id")), F.coalesce("fp", F.lit(b"")))
+    keep = _classes(docs).groupBy("doc_id").agg(F.count("*").alias("_times"), F.collect_set(stands).alias("_fps")).filter("doc_id IS NOT NULL AND size(_fps) > 0")
+    keep = materialise(keep, "jaccard-kept")
     repeated = bool(keep.filter("_times > 1").head(1))
     rows = whole_rows(docs).withColumn("_id", F.col("doc.doc_id"))
     # What is kept grows with the input, so it is shuffled at every size.
-    kept = rows.join(keep.select(F.col("doc_id").alias("_keep")).hint("merge"), F.col("_id") == F.col("_keep"), "left_semi")
     if repeated:
-        kept = kept.dropDuplicates(["_id"])
+        keep = keep.select(F.col("doc_id").alias("_keep"), F.explode("_fps").alias("_keep_fp"))
+        kept = rows.withColumn("_fp", fingerprints(F.col("doc.text"))).join(keep.hint("merge"), (F.col("_id") == F.col("_keep")) & (F.col("_fp") == F.col("_keep_fp")), "left_semi")
+        kept = kept.dropDuplicates(["_id", "_fp"]).drop("_fp")
+    else:
+        kept = rows.join(keep.select(F.col("doc_id").alias("_keep")).hint("merge"), F.col("_id") == F.col("_keep"), "left_semi")
     return kept.unionByName(rows.filter("_id IS NULL")).select("doc.*")
 
 
