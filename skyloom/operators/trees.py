@@ -47,7 +47,7 @@ def _leaf(mode: str) -> list[Column]:
     return [F.avg("y").alias("value")]
 
 
-def fit(rows: DataFrame, n_attributes: int, mode: str = "R", n_trees: int = 10, k: int = 0, nmin: int = 0, seed: int = 0, max_depth: int = 30, measure: str = "entropy") -> DataFrame:
+def fit(rows: DataFrame, n_attributes: int, mode: str = "R", n_trees: int = 10, k: int = 0, nmin: int = 0, seed: int = 0, max_depth: int = 60, measure: str = "entropy") -> DataFrame:
     """The node table (tree, node, attr, cut, leaf, value, classes) from rows (row_id, y, x)."""
     auto = defaults(mode, n_attributes)
     k, nmin, max_depth = k or auto[0], nmin or auto[1], min(max_depth, 60)

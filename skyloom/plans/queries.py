@@ -484,7 +484,7 @@ def ert_combine_class(s, d):
 @query()
 def ert_fit_predict(s, d):
     rows = table(s, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").cast("double").alias("y"), F.array((F.col("c_acctbal").cast("double") + F.col("c_custkey") % 7), (F.col("c_custkey") % 11).cast("double")).alias("x"))
-    return R.predict(rows, R.fit(rows, 2, "R", n_trees=3, max_depth=4, seed=1), "R")
+    return R.predict(rows, R.fit(rows, 2, "R", seed=1), "R")
 
 
 # Grids, least squares

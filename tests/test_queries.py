@@ -146,3 +146,18 @@ def test_all_positions_are_parsed(spark, sf, same):
     assert same(Q.position_parse, Q.SQL["position_parse"].replace(" WHERE p_partkey % 60 <> 0", "")) == Q.table(spark, sf, "part").count()
     zero = [r for r in Q.position_parse(spark, sf).collect() if r["p_partkey"] % 60 == 0]
     assert zero and all(r["ra"] == 0 for r in zero)
+
+
+def test_registered_trees_grow_to_nmin(spark, sf, monkeypatch):
+    import inspect
+    from collections import Counter
+
+    from skyloom.operators import trees as R
+
+    fit, made = R.fit, []
+    assert inspect.signature(fit).parameters["max_depth"].default == 60
+    monkeypatch.setattr(R, "fit", lambda *a, **k: made.append(fit(*a, **k)) or made[0])
+    Q.ert_fit_predict(spark, sf)
+    leaves = Counter(r["tree"] for r in made[0].filter("leaf").collect())
+    # No leaf holds 5 rows or more, as all y differ.
+    assert len(leaves) == 10 and 4 * min(leaves.values()) >= Q.table(spark, sf, "customer").count()
