@@ -7,13 +7,16 @@ min(CAP * words, c * weight), the same c for all).
 Copies. Within a source a document is expected CAP times at most: min(CAP, c * (20 + what its word count's bit length
 lacks to 16)), so that short documents are repeated rather than long ones; c makes the expected words equal the target.
 The whole part of that is allocated for certain. For the fractional part, its inclusion probability p, documents are
-ranked by (u / (1 - u)) / (p / (1 - p)), u being a uniform number hashed from the doc_id, and taken from the lowest rank
-up while the middle of a document lies within the words still wanted: a sample of fixed size, measured in words, with
-unequal probabilities. A source's taken words miss its target by half a document at most.
+ranked by (u / (1 - u)) / (p / (1 - p)), u being a uniform number hashed from doc_id and text, and taken from the lowest
+rank up while the middle of a document lies within the words still wanted. As the targets are in words, so is the sample's
+fixed size: not a fixed number of documents, for which alone Pareto sampling's odds are known to be near p. Here a
+document's odds differ from p by what its own length and the last document's shift the end of the sample. A source's
+taken words miss its target by half a document at most.
 
 Ranks aren't sorted as a whole: a histogram of ranks finds the bucket in which the sample ends, and only that bucket is
-sorted. Null text has no words; a null doc_id hashes like the word null; rows that repeat a doc_id within a source rise
-or fall together; an empty table gives an empty mix; other columns, whatever their names, don't matter.
+sorted. Null text has no words; a null doc_id hashes like the word null, so rows without an id are drawn each by its text;
+rows equal in doc_id, source and text rise or fall together (each still counts); an empty table gives an empty mix; other
+columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ SEED = "mix-1"
 BUCKETS, ROWS_PER_BUCKET = 256, 10_000
 
 
-def _uniform(doc_id: str) -> str:
-    """SQL for a number in (0, 1) with 52 random bits, the same on every run and engine."""
-    return f"(CAST(conv(substr(md5(CAST(concat('{SEED}:', coalesce(CAST({doc_id} AS STRING), 'null')) AS BINARY)), 1, 13), 16, 10) AS BIGINT) + 0.5D) / 4503599627370496D"
+def _draw(doc_id: Column, text: Column) -> Column:
+    """52 random bits of a row, the same on every run and engine."""
+    key = F.concat_ws(":", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 LEVEL = "CAST(least(length(bin(size)), 16) AS BIGINT)"
@@ -79,33 +83,33 @@ def allocation(sized: DataFrame, wanted: DataFrame) -> DataFrame:
 def ranked(sized: DataFrame, alloc: DataFrame, *more: str) -> DataFrame:
     """sized with certain (whole copies), rank (null: not in the draw) and bucket."""
     r = sized.alias("d").join(alloc.alias("a"), F.expr("d.source <=> a.source")).select("d.*", "source_size", "n_docs", "target", "wanted", *more, F.expr("a.copies[level]").alias("_e"))
-    r = r.withColumns({"certain": F.expr("CAST(floor(_e) AS BIGINT)"), "_p": F.expr("_e - floor(_e)"), "_u": F.expr(_uniform("doc_id"))})
+    r = r.withColumns({"certain": F.expr("CAST(floor(_e) AS BIGINT)"), "_p": F.expr("_e - floor(_e)"), "_u": F.expr("(draw + 0.5D) / 4503599627370496D")})
     r = r.withColumn("rank", F.expr("CASE WHEN _p > 0 THEN (_u / (1 - _u)) / (_p / (1 - _p)) END"))
     return r.withColumn("bucket", F.expr(f"CAST(floor(rank / (1 + rank) * ({BUCKETS} + n_docs DIV {ROWS_PER_BUCKET})) AS BIGINT)")).drop("_e", "_p", "_u")
 
 
 def sample_ends(sized: DataFrame, alloc: DataFrame) -> DataFrame:
-    """alloc with end_bucket and end (rank, doc_id): documents of lower buckets are drawn, those of this one up to the end."""
+    """alloc with end_bucket and end (rank, draw): documents of lower buckets are drawn, those of this one up to the end."""
     r = ranked(sized, alloc).filter("rank IS NOT NULL")
     hist = r.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("run", F.coalesce(F.sum("words").over(before), F.lit(0)))
     last = materialise(hist.filter("run <= wanted AND run + words > wanted").groupBy("source").agg(F.min("bucket").alias("end_bucket"), F.min_by("run", "bucket").alias("run")), "mix-buckets")
-    inside = r.alias("d").join(last.alias("b"), F.expr("d.source <=> b.source AND d.bucket = b.end_bucket")).select("d.source", "rank", "doc_id", "size", "wanted", "run")
-    units = inside.groupBy("source", "rank", "doc_id").agg(F.sum("size").alias("size"), F.first("wanted").alias("wanted"), F.first("run").alias("run"))
-    order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = r.alias("d").join(last.alias("b"), F.expr("d.source <=> b.source AND d.bucket = b.end_bucket")).select("d.source", "rank", "draw", "size", "wanted", "run")
+    units = inside.groupBy("source", "rank", "draw").agg(F.sum("size").alias("size"), F.first("wanted").alias("wanted"), F.first("run").alias("run"))
+    order = Window.partitionBy("source").orderBy("rank", "draw").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("at", F.expr("run") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    ends = units.filter("2 * at + size <= 2 * wanted").groupBy("source").agg(F.max(F.struct("rank", "doc_id")).alias("end"))
+    ends = units.filter("2 * at + size <= 2 * wanted").groupBy("source").agg(F.max(F.struct("rank", "draw")).alias("end"))
     a = alloc.alias("a").join(last.alias("b"), F.expr("a.source <=> b.source"), "left").join(ends.alias("e"), F.expr("a.source <=> e.source"), "left")
     return materialise(a.select("a.*", "end_bucket", "end"), "mix-ends")
 
 
 def sized_documents(docs: DataFrame, doc_id: Column, source: Column, text: Column, *keep: str) -> DataFrame:
-    return docs.select(*keep, doc_id.alias("doc_id"), source.alias("source"), F.size(words_of(text)).cast("long").alias("size")).withColumn("level", F.expr(LEVEL))
+    return docs.select(*keep, doc_id.alias("doc_id"), source.alias("source"), F.size(words_of(text)).cast("long").alias("size"), _draw(doc_id, text).alias("draw")).withColumn("level", F.expr(LEVEL))
 
 
 def _drawn(sized: DataFrame, ends: DataFrame) -> DataFrame:
-    drawn = "rank IS NOT NULL AND (end_bucket IS NULL OR bucket < end_bucket OR bucket = end_bucket AND end IS NOT NULL AND struct(rank, doc_id) <= end)"
+    drawn = "rank IS NOT NULL AND (end_bucket IS NULL OR bucket < end_bucket OR bucket = end_bucket AND end IS NOT NULL AND struct(rank, draw) <= end)"
     r = ranked(sized, ends, "end_bucket", "end")
     return r.withColumn("n_copies", F.expr(f"certain + CASE WHEN {drawn} THEN 1L ELSE 0L END"))
 
@@ -123,10 +127,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with all its columns."""
-    packed = sized_documents(whole_rows(docs), F.col("doc.doc_id"), F.col("doc.source"), F.col("doc.text"), "doc")
-    sized = materialise(packed.drop("doc"), "mix-sizes")
-    copies = _drawn(packed, plan_mix(sized)).filter("n_copies > 0")
+    """The mix itself: each row of docs as often as it is taken, with all its columns. Rows are written once with their sizes, so words are counted once."""
+    packed = materialise(sized_documents(whole_rows(docs), F.col("doc.doc_id"), F.col("doc.source"), F.col("doc.text"), "doc"), "mix-sizes")
+    copies = _drawn(packed, plan_mix(packed.drop("doc"))).filter("n_copies > 0")
     return copies.select("doc", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("_copy")).select("doc.*")
 
 
@@ -136,7 +139,8 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 def _oracle(docs: str = "documents") -> str:
     return f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM {docs}),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS draw FROM {docs}),
 l AS (SELECT *, least(length(bin(size)), 16)::BIGINT AS level FROM d),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM l GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS weight FROM s0),
@@ -153,12 +157,13 @@ g3 AS (SELECT *, (min(CASE WHEN ci * f <= 2 THEN struct_pack(level := level, ci
 g AS (SELECT *, least(2.0::DOUBLE, coalesce(c * f, 2.0::DOUBLE)) AS copies FROM g3),
 r AS (SELECT source, target - sum((floor(copies) * words)::BIGINT)::DOUBLE AS wanted FROM g GROUP BY source, target),
 u AS (SELECT l.*, floor(copies)::BIGINT AS certain, copies - floor(copies) AS p,
-    (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    (draw + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
     FROM l JOIN g ON g.source IS NOT DISTINCT FROM l.source AND g.level = l.level),
 k AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u),
-o AS (SELECT k.*, coalesce(sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run FROM k),
-z AS (SELECT o.*, certain + CASE WHEN rank IS NOT NULL AND 2 * run + size <= 2 * wanted THEN 1 ELSE 0 END AS n_copies
-    FROM o JOIN r ON r.source IS NOT DISTINCT FROM o.source)
+y AS (SELECT source, rank, draw, sum(size)::BIGINT AS unit FROM k GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(unit) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run FROM y),
+z AS (SELECT k.*, certain + CASE WHEN k.rank IS NOT NULL AND 2 * run + unit <= 2 * wanted THEN 1 ELSE 0 END AS n_copies
+    FROM k JOIN o ON o.source IS NOT DISTINCT FROM k.source AND o.rank IS NOT DISTINCT FROM k.rank AND o.draw = k.draw JOIN r ON r.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, size, source_size, target, (size * n_copies)::BIGINT AS taken, n_copies::BIGINT AS n_copies FROM z JOIN s ON s.source IS NOT DISTINCT FROM z.source"""
 
 
