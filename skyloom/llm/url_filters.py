@@ -47,20 +47,20 @@ def filter_urls(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     rules = materialise(rules.withColumn("digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("digest", 1, PREFIX_BYTES)), "url-rules")
     labels, slashes = rules.agg(F.max(F.size(F.split("rule_host", r"\."))), F.max(F.size(F.split("rule_path", "/")) - 1)).first()
     host, path = split_url("url")
-    u = urls.groupBy("key", "url").agg(F.count("*").alias("copies")).withColumns({"host": F.expr(host), "path": F.expr(path)})
+    # A row's expressions leave the task that numbers it together, so the number need only tell rows apart.
+    u = urls.select(F.monotonically_increasing_id().alias("_row"), "key", F.expr(host).alias("host"), F.expr(path).alias("path"))
     # The last k labels of the host, and the path up to its k-th slash.
     u = u.withColumns({"_l": F.split("host", r"\."), "_s": F.split("path", "/", (slashes or 0) + 1)})
     suffixes = f"transform(sequence(1, least(size(_l), {labels or 1})), k -> array_join(slice(_l, -k, k), '.'))"
     prefixes = f"CASE WHEN size(_s) > 1 THEN transform(sequence(1, least(size(_s) - 1, {slashes or 1})), k -> concat(array_join(slice(_s, 1, k), '/'), '/')) ELSE array() END"
     pairs = u.withColumns({"_h": F.expr(suffixes), "_p": F.expr(prefixes).cast("array<string>")}).select(
-        "key", "url", "copies", "host", "path", F.explode_outer("_h").alias("_eh"), "_p"
-    ).select("key", "url", "copies", "host", "path", "_eh", F.explode_outer("_p").alias("_ep")).withColumn("_digest", digest(F.col("_eh"), F.col("_ep")))
+        "_row", "key", "host", "path", F.explode_outer("_h").alias("_eh"), "_p"
+    ).select("_row", "key", "host", "path", "_eh", F.explode_outer("_p").alias("_ep")).withColumn("_digest", digest(F.col("_eh"), F.col("_ep")))
     met = pairs.withColumn("_short", F.substring("_digest", 1, PREFIX_BYTES)).join(rules, F.col("_short") == F.col("short"), "left")
     fits = F.when(F.col("digest") == F.col("_digest"), F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), "rule_host", "rule_path", "verdict"))
-    best = met.groupBy("key", "url", "copies", "host", "path").agg(F.max(fits).alias("b"))
-    rule = F.expr("concat(b.rule_host, b.rule_path)")
-    out = best.select("key", "host", "path", rule.alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
-    return out.drop("_copy")
+    # The rules are broadcast while Spark finds them small; hosts and paths are shuffled once, by row.
+    best = met.groupBy("_row", "key", "host", "path").agg(F.max(fits).alias("b"))
+    return best.select("key", "host", "path", F.expr("concat(b.rule_host, b.rule_path)").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
