@@ -6,15 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Rows for each file at least, where a table's rows are known to be bounded.
 ROWS_PER_FILE = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The application's folder in the cluster's shared one, spark.checkpoint.dir. Only a local master, as in tests, may go without that setting."""
     conf = spark.sparkContext.getConf()
-    return (conf.get("spark.checkpoint.dir", None) or f"file:/tmp/checkpoints/{conf.get('spark.app.id', 'local')}").rstrip("/")
+    given, app = conf.get("spark.checkpoint.dir", None), conf.get("spark.app.id", "local")
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(given or 'file:/tmp/checkpoints').rstrip('/')}/{app}"
 
 
 def materialise(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
@@ -27,4 +29,21 @@ def materialise(df: DataFrame, label: str, most_rows: int | None = None) -> Data
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most_rows // ROWS_PER_FILE)))
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(made: DataFrame) -> None:
+    """Deletes what materialise wrote for this DataFrame; nothing that is still to be computed may read it."""
+    _delete(made.sparkSession, made._written)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written with materialise, once its results have been taken."""
+    _delete(spark, shared_dir(spark))
