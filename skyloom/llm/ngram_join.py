@@ -6,9 +6,12 @@
 2. Representatives are shuffled on the hashes of the bands of their MinHash signature. Bands and rows are chosen so that
    a pair at the threshold shares a band with probability TARGET_RECALL at least. In a bucket each member is linked with
    the least one, so a bucket of k gives k - 1 candidate edges, and the edges' components hold every candidate pair.
-3. All pairs within a component are verified on full sets, in blocks of BLOCK by BLOCK: a block counts each member's
-   links and gives a spanning forest of them, never the pairs. Where a component has several blocks, the forests'
-   components are its classes.
+3. Pairs are verified on full sets, in blocks of about BLOCK by BLOCK members that count each member's links and give a
+   spanning forest of them, never the pairs. A component is verified as a whole (which holds all pairs of its buckets) or
+   bucket by bucket, whichever copies its members to fewer blocks: groups of near copies go whole, long chains of texts
+   that are each like the next only go by buckets, so their work grows with their length. Buckets with the same members
+   are verified once, and a pair counts in the first bucket that both its texts are in. Where a component has several
+   blocks, the forests' components are its classes.
 
 Result: for each row of the input doc_id, class_id (least doc_id that it is linked with by links or copies, itself
 included) and n_links (other rows with the same words or a similarity of the threshold or more). Texts without words,
@@ -32,8 +35,8 @@ from .graph import components
 from .license_scan import words_of
 
 N, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99999
-#: Most MinHash values of a signature; members of a block; elements of a dense matrix.
-MOST_HASHES, BLOCK, DENSE = 160, 512, 1 << 22
+#: Most MinHash values of a signature; members, and n-grams of all members, of each side of a block; elements of a dense matrix.
+MOST_HASHES, BLOCK, BLOCK_GRAMS, DENSE = 160, 512, 1 << 21, 1 << 22
 _MIX = np.random.default_rng(2024).integers(1, 2**32, (2, MOST_HASHES), np.uint32)
 _STEP = [int(x) | 1 for x in np.random.default_rng(2025).integers(1, 2**63, 64, np.uint64)]
 
@@ -90,42 +93,50 @@ def band_hashes(g: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, fp (128 bits of the words; null if there are none or no doc_id), bands."""
+    """doc_id, fp (128 bits of the words; null if there are none or no doc_id), n_grams, bands."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in slices(batches):
-            fps, keys = [], []
+            fps, counts, keys = [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 words = words_of(text)
                 there = bool(words) and doc_id is not None
                 fps.append(xxhash.xxh3_128_digest(b" ".join(words)) if there else None)
-                keys.append(band_hashes(grams(words, known, n), bands, rows) if there else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+                g = grams(words, known, n) if there else None
+                counts.append(len(g) if there else 0)
+                keys.append(band_hashes(g, bands, rows) if there else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "n_grams", "bands"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, fp binary, bands array<long>")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, fp binary, n_grams long, bands array<long>")
 
 
-def linked(sizes: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
-    """Matrix of which pairs reach the threshold, exactly: I / (a + b - I) >= t is (1 + t) I >= t (a + b) in whole numbers."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of all pairs' intersections."""
     k = len(sets)
     both = np.zeros((k, k), np.float32)
     values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     column = np.where(shared, np.cumsum(shared) - 1, -1)[inverse]
-    row = np.repeat(np.arange(k), sizes)
+    row = np.repeat(np.arange(k), [len(x) for x in sets])
     row, column = row[column >= 0], column[column >= 0]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     width = max(1, DENSE // k)
     for at in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(column, [at, at + width])
-        dense = np.zeros((k, width), np.float32)
+        dense = np.zeros((k, min(width, int(shared.sum()) - at)), np.float32)
         dense[row[lo:hi], column[lo:hi] - at] = 1
         both += dense @ dense.T
+    return both.astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
+    """Matrix of which pairs reach the threshold, exactly: I / (a + b - I) >= t is (1 + t) I >= t (a + b) in whole numbers."""
+    sizes = np.array([len(x) for x in sets], np.int64)
     t, u = threshold.numerator, threshold.denominator
-    return (u + t) * both.astype(np.int64) >= t * (sizes[:, None] + sizes[None, :])
+    return (u + t) * overlaps(sets) >= t * (sizes[:, None] + sizes[None, :])
 
 
 def _roots(link: np.ndarray) -> np.ndarray:
@@ -140,21 +151,48 @@ def _roots(link: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verify_block(key: tuple, members: pa.Table, threshold: Fraction) -> pa.Table:
-    """Counts links in one block of pairs: within it if it stands for one part of a component, between its two parts else."""
-    one_part = key[1].as_py() == key[2].as_py()
+def verify_block(members: pa.Table, threshold: Fraction) -> pa.Table:
+    """Counts links in one block of pairs: within it if it stands for one part of its group, between its two parts else. A pair
+    that an earlier group holds too is a link there already."""
     members = members.sort_by("node")
     node = members["node"].to_numpy()
     first = np.append(True, node[1:] != node[:-1])
     node = node[first]
     copies, part = members["copies"].to_numpy()[first], members["part"].to_numpy()[first]
-    sets = [np.frombuffer(x, np.uint64) for x, keep in zip(members["grams"].to_pylist(), first) if keep]
-    link = linked(np.array([len(x) for x in sets], np.int64), sets, threshold)
+    pick = np.flatnonzero(first)
+    link = linked([np.frombuffer(members["grams"][int(k)].as_py(), np.uint64) for k in pick], threshold)
     np.fill_diagonal(link, False)
-    if not one_part:
+    if members["low"][0].as_py() != members["high"][0].as_py():
         link &= part[:, None] != part[None, :]
-    links = link @ copies
-    return pa.table({"node": node, "links": links.astype(np.int64), "root": node[_roots(link)], "parts": members["parts"].to_numpy()[first]})
+    root = node[_roots(link)]
+    before = [np.array(members["before"][int(k)].as_py() or (), np.int64) for k in pick]
+    if any(map(len, before)):
+        link &= overlaps(before) == 0
+    return pa.table({"node": node, "links": (link @ copies).astype(np.int64), "root": root, "alone": pa.array(members["alone"].to_numpy(zero_copy_only=False)[first])})
+
+
+def _blocks(n: str, grams: str) -> Column:
+    """Parts into which a group of n members is dealt."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(grams) / BLOCK_GRAMS)).cast("int")
+
+
+def _groups(comp: DataFrame, keys: DataFrame, buckets: DataFrame, texts: DataFrame, n_docs: int, bands: int) -> DataFrame:
+    """(node, groups): in which groups each member of a component is verified, as key, part, parts and whole (the group is a whole component)."""
+    sized = comp.join(texts.select("node", "n_grams"), "node")
+    whole = sized.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams")).withColumn("parts", _blocks("n", "grams"))
+    whole = materialise(whole.select("comp", "n", "parts"), "jaccard-wholes", n_docs // 2)
+    # Only components of several blocks have a choice. A bucket lies within one component.
+    held = keys.join(buckets.select("band"), "band").join(sized, "node").join(whole.filter("parts > 1").select("comp"), "comp")
+    by_band = held.groupBy("comp", "band").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+    by_band = by_band.groupBy("comp", "n", "same").agg(F.min("band").alias("band"), F.max("grams").alias("grams")).withColumn("parts", _blocks("n", "grams"))
+    by_band = materialise(by_band.select("comp", "band", "n", "parts"), "jaccard-by-band", n_docs * bands // 2)
+    cost = by_band.groupBy("comp").agg(F.sum(F.col("n") * F.col("parts")).alias("cost"))
+    chosen = materialise(whole.join(cost, "comp", "left").select("comp", "parts", (F.col("cost") < F.col("n") * F.col("parts")).alias("split")), "jaccard-chosen", n_docs // 2)
+    part = lambda salt: F.pmod(F.xxhash64("node", salt), F.col("parts")).cast("int").alias("part")
+    entire = comp.join(chosen.filter("NOT coalesce(split, false)"), "comp").select("node", F.array(F.struct(F.col("comp").alias("key"), part("comp"), "parts", F.lit(True).alias("whole"))).alias("groups"))
+    split = by_band.join(chosen.filter("split").select("comp"), "comp").select("band", "parts")
+    split = keys.join(split, "band").select("node", F.struct(F.col("band").alias("key"), part("band"), "parts", F.lit(False).alias("whole")).alias("g"))
+    return entire.unionByName(split.groupBy("node").agg(F.collect_list("g").alias("groups")))
 
 
 def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
@@ -163,16 +201,15 @@ def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     exact = Fraction(threshold).limit_denominator(1000)
     sig = materialise(signatures(docs, n, bands, rows), "jaccard-signatures")
     n_docs = sig.count()  # from the files' footers
-    texts = materialise(sig.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "jaccard-texts", n_docs)
-    reps = sig.withColumnRenamed("doc_id", "rep").join(texts, ["fp", "rep"]).dropDuplicates(["fp", "rep"])
+    texts = sig.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"))
+    texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "jaccard-texts", n_docs)
+    reps = sig.select(F.col("doc_id").alias("rep"), "fp", "bands").join(texts, ["fp", "rep"]).dropDuplicates(["fp", "rep"])
     keys = materialise(reps.select("node", F.explode("bands").alias("band")), "jaccard-bands", n_docs * bands)
     buckets = materialise(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "jaccard-buckets", n_docs * bands // 2)
     edges = keys.join(buckets, "band").select(F.col("node").alias("a"), F.col("least").alias("b"))
     comp = materialise(components(edges), "jaccard-components", n_docs)
-    sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
-    members = comp.join(sizes, "comp").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = materialise(members.join(texts, "node").select("node", "rep", "comp", "part", "parts", "copies", "fp"), "jaccard-members", n_docs)
+    members = _groups(comp, keys, buckets, texts, n_docs, bands).join(texts, "node").select("node", "rep", "groups", "copies", "fp")
+    members = materialise(members, "jaccard-members", n_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -184,17 +221,18 @@ def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
                     good.append(k)
                     found.append(grams(words, known, n).tobytes())
             kept = b.take(pa.array(good, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("node", "comp", "part", "parts", "copies")], pa.array(found, pa.binary())], names=["node", "comp", "part", "parts", "copies", "grams"])
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("node", "groups", "copies")], pa.array(found, pa.binary())], names=["node", "groups", "copies", "grams"])
 
     # Members grow with the input, so they are shuffled at every size.
     got = docs.selectExpr("CAST(doc_id AS BIGINT) AS rep", "text").join(members.hint("merge"), "rep")
-    got = got.mapInArrow(run, "node long, comp long, part int, parts int, copies long, grams binary")
-    # Each member goes to every block that pairs its part with another, or with itself.
-    got = got.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "_o"), "high": F.greatest("part", "_o")}).drop("_o")
-    checked = got.groupBy("comp", "low", "high").applyInArrow(lambda key, t: verify_block(key, t, exact), "node long, links long, root long, parts int")
+    got = got.mapInArrow(run, "node long, groups array<struct<key: long, part: int, parts: int, whole: boolean>>, copies long, grams binary")
+    # Each member goes to every block that pairs its part of a group with another, or with itself.
+    got = got.select("node", "copies", "grams", "groups", F.explode("groups").alias("g")).select("node", "copies", "grams", "g.*", F.expr("transform(filter(groups, x -> x.key < g.key), x -> x.key)").alias("before"))
+    got = got.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "_o"), "high": F.greatest("part", "_o"), "alone": F.expr("whole AND parts = 1")}).drop("_o", "parts")
+    checked = got.groupBy("whole", "key", "low", "high").applyInArrow(lambda t: verify_block(t, exact), "node long, links long, root long, alone boolean")
     checked = materialise(checked, "jaccard-links")
-    split = components(checked.filter("parts > 1 AND node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    whole = checked.filter("parts = 1").select("node", F.col("root").alias("comp"))
+    split = components(checked.filter("NOT alone AND node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    whole = checked.filter("alone").select("node", F.col("root").alias("comp"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     classes = whole.unionByName(split).groupBy("node").agg(F.min("comp").alias("comp"))
     least = classes.join(texts.select("node", "rep"), "node").groupBy("comp").agg(F.min(F.struct("rep", "node")).alias("least"))
