@@ -9,8 +9,9 @@ the candidates for each batch. A task gives its k best for each query; the best
 
 Components become floor(256 * x). Vectors that are null or hold a null, nan or infinite component take no part; shorter
 vectors count as filled up with zeros. Ties go to the smaller vec_id; a row is no candidate of a query with its own
-vec_id; queries that repeat a vec_id are answered once, for the least vector. An empty table gives an empty result;
-other columns don't matter.
+vec_id; rows that repeat a query's vec_id are queries of their own, rows that repeat another's are candidates each. Scores
+are ranked as exact whole numbers of any size, and shown as long, beyond its range as its largest or smallest value. An
+empty table gives an empty result; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -22,19 +23,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import materialise, ship, table
 
 K, EVERY, DIMS, CHUNK, QUERIES = 5, 50, 8, 8192, 16384
 #: Up to here sums of products are exact in doubles.
 EXACT = 2.0**52
+LONG = (1 << 63) - 1
+_NINES = str.maketrans("0123456789", "9876543210")
 
 
-def quantised(rows: list[list[float]], dims: int) -> np.ndarray:
-    """dims x rows of floor(256 * x) as doubles."""
-    out = np.zeros((dims, len(rows)))
-    for k, r in enumerate(rows):
-        out[: len(r), k] = r
-    return np.floor(256.0 * out)
+def unpacked(column, dims: int | None = None) -> np.ndarray:
+    """dims x rows of an Arrow array of lists, shorter ones filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = np.diff(column.offsets.to_numpy())
+    dims = int(width.max(initial=0)) if dims is None else dims
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (width == dims).all():
+        return np.ascontiguousarray(flat.reshape(len(width), dims).T)
+    out = np.zeros((dims, len(width)))
+    row = np.repeat(np.arange(len(width)), width)
+    out[np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width), row] = flat
+    return out
+
+
+def quantised(raw: np.ndarray) -> np.ndarray:
+    """floor(256 * x), as doubles; infinite if it exceeds them."""
+    with np.errstate(over="ignore"):
+        return np.floor(256.0 * raw)
+
+
+def whole(x: float) -> int:
+    """floor(256 * x) exactly; numbers that 256 could lift out of the doubles are whole already."""
+    return int(x) * 256 if abs(x) > 2.0**60 else int(np.floor(256.0 * x))
+
+
+def order_key(score: int) -> str:
+    """Text that sorts as whole numbers do."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):04d}{digits}"
+    return f"0{9999 - len(digits):04d}" + digits.translate(_NINES)
 
 
 def masses(x: np.ndarray) -> np.ndarray:
@@ -65,15 +93,21 @@ def best_of_chunk(q: np.ndarray, q_mass: np.ndarray, q_id: int, x: np.ndarray, x
     return alive, score
 
 
-def search_chunk(queries: np.ndarray, q_mass: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, best: list) -> None:
+def _grown(m: np.ndarray, dims: int) -> np.ndarray:
+    return np.vstack([m, np.zeros((dims - len(m), m.shape[1]))]) if len(m) < dims else m
+
+
+def search_chunk(raw_queries: np.ndarray, q_mass: np.ndarray, q_ids: np.ndarray, raw: np.ndarray, x_ids: np.ndarray, k: int, best: list) -> None:
     """Merges a chunk's candidates into best, a list of (scores, ids) a query, in order."""
-    dims = max(len(queries), len(x))
-    grow = lambda m: np.vstack([m, np.zeros((dims - len(m), m.shape[1]))]) if len(m) < dims else m
-    queries, x = grow(queries), grow(x)
+    dims = max(len(raw_queries), len(raw))
+    raw_queries, raw = _grown(raw_queries, dims), _grown(raw, dims)
+    queries, x = quantised(raw_queries), quantised(raw)
+    with np.errstate(over="ignore", invalid="ignore"):
+        large = dims and not np.abs(queries).max(initial=0) * np.abs(x).max(initial=0) * dims < EXACT
+    if large or any(s.dtype == object for s, _ in best):
+        return _search_large(raw_queries, q_ids, raw, x_ids, k, best)
     q_mass = masses(queries) if len(q_mass) != -(-dims // DIMS) + 1 else q_mass
     x_mass = masses(x)
-    if dims and np.abs(queries).max(initial=0) * np.abs(x).max(initial=0) * dims >= EXACT:
-        return _search_large(queries, q_ids, x, x_ids, k, best)
     for at in range(0, len(q_ids), 256):
         first = queries[:DIMS, at : at + 256].T @ x[:DIMS]
         for j in range(at, min(at + 256, len(q_ids))):
@@ -86,9 +120,9 @@ def search_chunk(queries: np.ndarray, q_mass: np.ndarray, q_ids: np.ndarray, x:
 
 def _search_large(queries, q_ids, x, x_ids, k, best) -> None:
     """Whole numbers of any size, for vectors whose products leave the exact range of doubles."""
-    ints = [[int(v) for v in c] for c in x.T]
+    ints = [[whole(v) for v in c] for c in x.T]
     for j, q in enumerate(queries.T):
-        q = [int(v) for v in q]
+        q = [whole(v) for v in q]
         mine = [(sum(a * b for a, b in zip(q, c)), int(i)) for c, i in zip(ints, x_ids) if i != q_ids[j]]
         both = sorted([*mine, *((int(s), int(i)) for s, i in zip(*best[j]))], key=lambda r: (-r[0], r[1]))[:k]
         best[j] = np.array([r[0] for r in both], object), np.array([r[1] for r in both], np.int64)
@@ -105,31 +139,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, per_batch: int =
     ship(spark)
     usable = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     clean = lambda d: d.selectExpr("CAST(vec_id AS BIGINT) AS vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding").filter(usable)
-    queries = clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    candidates = clean(vectors)
+    queries, candidates = materialise(clean(queries), "topk-queries"), clean(vectors)
     n_batches = max(1, -(-queries.count() * 5 // (4 * per_batch)))
     found = None
     for batch in range(n_batches):
-        got = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_batches)) == batch).toArrow().sort_by("vec_id")
-        rows = got["embedding"].to_pylist()
-        q = quantised(rows, max(map(len, rows), default=0))
-        shared = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), q, masses(q)))
+        # Rows that repeat a vec_id share a batch, so the batch is told by the id.
+        got = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_batches)) == batch).sort("vec_id", "embedding").toArrow()
+        raw = unpacked(got["embedding"])
+        with np.errstate(over="ignore", invalid="ignore"):
+            shared = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), raw, masses(quantised(raw))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q, q_mass = shared.value
+            q_ids, raw, q_mass = shared.value
             best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]
             for b in batches:
                 for at in range(0, b.num_rows, CHUNK):
                     part = b.slice(at, CHUNK)
-                    rows = part.column(1).to_pylist()
-                    search_chunk(q, q_mass, q_ids, quantised(rows, max(map(len, rows), default=0)), part.column(0).to_numpy(), k, best)
-            ids = np.repeat(q_ids, [len(s) for s, _ in best])
-            scores = pa.array([int(x) for s, _ in best for x in s], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([i for _, i in best] or [np.zeros(0, np.int64)]), pa.int64()), scores], names=["query_id", "vec_id", "score"])
-
-        part = candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+                    search_chunk(raw, q_mass, q_ids, unpacked(part.column(1)), part.column(0).to_numpy(), k, best)
+            counts = [len(s) for s, _ in best]
+            scores = [int(x) for s, _ in best for x in s]
+            ids = np.concatenate([i for _, i in best] or [np.zeros(0, np.int64)])
+            shown = [max(-LONG - 1, min(LONG, x)) for x in scores]
+            cols = [np.repeat(np.arange(len(q_ids)), counts), np.repeat(q_ids, counts), ids, shown]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(list(map(order_key, scores)), pa.string())], names=["query", "query_id", "vec_id", "score", "key"])
+
+        part = candidates.mapInArrow(run, "query long, query_id long, vec_id long, score long, key string")
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("key"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
