@@ -36,6 +36,18 @@ def ship(spark: SparkSession) -> None:
     sc._skyloom_shipped = True
 
 
+#: Size up to which a table of fewer files than cores is dealt anew.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it is small and comes from few files: such a file may hold a single row group, which one
+    task reads whatever the number of partitions. Larger tables have files and row groups enough and aren't shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in parts of few rows, so that a worker holds few texts as Python objects at a time."""
     for b in batches:
