@@ -21,31 +21,62 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship, slices, table, utf8
+from .common import ship, slices, spread, table, utf8
 
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Labels and templates of well-known license notices.
+#: Well-known license texts and the notices that apply a license, with their optional and replaceable parts.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<opt>>"<</opt>>Software<<opt>>"<</opt>>), to deal in the Software without restriction"""
+_MIT_REST = """, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+    subject to the following conditions: The above copyright notice and this permission notice <<opt>>(including the next paragraph)<</opt>> shall be included in all copies or substantial portions of the Software.
+    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+    IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = "Permission to use, copy, modify, and<<opt>>/or<</opt>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_REST = """. THE SOFTWARE IS PROVIDED "AS IS" AND <<var:10>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+    IN NO EVENT SHALL <<var:10>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+    WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = """: <<opt>>1<</opt>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    <<opt>>2<</opt>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THREE = """ <<opt>>3<</opt>> Neither the name of <<var:10>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_REST = """ THIS SOFTWARE IS PROVIDED BY <<var:10>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+    IN NO EVENT SHALL <<var:10>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+    LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+    ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this <<var:3>> except in compliance with the License. You may obtain a copy of the License at
+    <<opt>>http<</opt>><<opt>>https<</opt>> www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+    WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_GPL_NOTICE = """This <<var:4>> is free software<<opt>>:<</opt>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+    either version {0} of the License, or (at your option) any later version. This <<var:4>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+#: (label, template). A label alone stands for the whole text of a license or, with `notice`, of the notice that applies it;
+#: `grant` for the first sentence of a license only, `mention` for a statement that names one.
 TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the <<opt>>\"<</opt>>Software<<opt>>\"<</opt>>), to deal in the Software without restriction"),
-    ("mit", "<<opt>>This <<var:3>> is<</opt>> <<opt>>released<</opt>> <<opt>>licensed<</opt>> under the MIT License"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use <<var:4>> except in compliance with the License"),
-    ("gpl-3.0", "<<opt>>This <<var:3>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> GNU General Public License, <<opt>>version 3<</opt>>"),
-    ("gpl-3.0", "GNU General Public License<<opt>> as published by the Free Software Foundation<</opt>>, <<opt>>either<</opt>> version 3<<opt>> of the License<</opt>>"),
-    ("gpl-2.0", "GNU General Public License<<opt>> as published by the Free Software Foundation<</opt>>, <<opt>>either<</opt>> version 2<<opt>> of the License<</opt>>"),
-    ("lgpl", "GNU Lesser General Public License"),
-    ("lgpl", "GNU Library General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "Permission to use, copy, modify, and<<opt>>/or<</opt>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, <<opt>>v. 2.0<</opt>><<opt>>version 2.0<</opt>>"),
+    ("mit", _MIT + _MIT_REST),
+    ("mit-grant", _MIT),
+    ("isc", _ISC + _ISC_REST),
+    ("isc-grant", _ISC),
+    ("bsd-2-clause", _BSD + _BSD_TWO + _BSD_REST),
+    ("bsd-3-clause", _BSD + _BSD_TWO + _BSD_THREE + _BSD_REST),
+    ("bsd-grant", _BSD),
+    ("apache-2.0-notice", _APACHE_NOTICE),
+    ("gpl-2.0-notice", _GPL_NOTICE.format(2)),
+    ("gpl-3.0-notice", _GPL_NOTICE.format(3)),
+    ("mit-mention", "<<opt>>This <<var:3>> is<</opt>> <<opt>>released<</opt>> <<opt>>licensed<</opt>> under the MIT License"),
+    ("apache-2.0-mention", "Licensed under the Apache License, Version 2.0"),
+    ("gpl-3.0-mention", "<<opt>>This <<var:3>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> GNU General Public License, <<opt>>version 3<</opt>>"),
+    ("gpl-3.0-mention", "GNU General Public License<<opt>> as published by the Free Software Foundation<</opt>>, <<opt>>either<</opt>> version 3<<opt>> of the License<</opt>>"),
+    ("gpl-2.0-mention", "GNU General Public License<<opt>> as published by the Free Software Foundation<</opt>>, <<opt>>either<</opt>> version 2<<opt>> of the License<</opt>>"),
+    ("lgpl-mention", "GNU Lesser General Public License"),
+    ("lgpl-mention", "GNU Library General Public License"),
+    ("mpl-2.0-mention", "subject to the terms of the Mozilla Public License, <<opt>>v. 2.0<</opt>><<opt>>version 2.0<</opt>>"),
     ("cc-by-nc-4.0", "<<opt>>Licensed under<</opt>> CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "<<opt>>Licensed under<</opt>> CC BY-SA 4.0"),
     ("cc-by-nd-4.0", "<<opt>>Licensed under<</opt>> CC BY-ND 4.0"),
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-4.0", "Creative Commons Attribution 4.0 <<opt>>International<</opt>> <<opt>>Public<</opt>> License"),
     ("cc0-1.0", "CC0 1.0 <<opt>>Universal<</opt>>"),
-    ("copyright", "Copyright <<opt>>(c)<</opt>> <<var:6>> All rights reserved"),
+    ("copyright", "Copyright <<opt>>(c)<</opt>> <<var:24>> All rights reserved"),
 )
 
 #: Byte table: A-Z to lower case, ASCII that isn't a letter or digit to a blank; other bytes (of non-ASCII characters) stay.
@@ -205,8 +236,35 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> Data
             cols[7] = [[{"label": x, "start": s, "stop": e} for x, s, e in v] for v in cols[7]]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, SCHEMA + ", spans array<struct<label string, start long, stop long>>")
+    return spread(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")).mapInArrow(run, SCHEMA + ", spans array<struct<label string, start long, stop long>>")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def pattern(items: list) -> str:
+    """A template's items as a regular expression over words that each end in a blank."""
+    part = lambda x: f"{x.decode()} " if isinstance(x, bytes) else f"(?:{pattern(x[1])})?" if x[0] == "opt" else f"(?:[^ ]+ ){{0,{x[1]}}}"
+    return "".join(map(part, items))
+
+
+def _oracle() -> str:
+    """DuckDB SQL: templates as regular expressions over the words."""
+    items = [(label, parse(t)) for label, t in TEMPLATES]
+    found = [(label, sum(isinstance(x, bytes) for x in i), f"regexp_matches(s, ' {pattern(i)}')") for label, i in items]
+    split = [(words_of(p.encode()), label) for p, label in PHRASES]
+    at = [f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {k + 1}] = {x.decode()!r}' for k, x in enumerate(p))})" for p, _ in split]
+    has = [(label, len(p), f"len(p{k}) > 0") for k, (p, label) in enumerate(split)]
+    listed = lambda found: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(f'CASE WHEN {c} THEN {label!r} END' for label, _, c in found)}], lambda x: x IS NOT NULL))), ',')"
+    best = f"greatest(0, {', '.join(f'CASE WHEN {c} THEN {n} ELSE 0 END' for _, n, c in found + has)})"
+    every = " || ".join(f"p{k}" for k in range(len(split)))
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+u AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS s, {', '.join(f'{x} AS p{k}' for k, x in enumerate(at))} FROM t),
+v AS (SELECT *, {every} AS p, {best} AS best FROM u)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word, list_max(p)::BIGINT AS last_word, {listed(has)} AS base_labels,
+    {listed(found + has)} AS labels, best::DOUBLE / (best + 2) AS score FROM v"""
+
+
+ORACLE = _oracle()
