@@ -6,7 +6,7 @@ The trees are flattened into arrays, which numpy traverses for a batch of docume
 
 Null text counts as empty; empty texts get a score like others. A null doc_id has no label; several labels of one
 document are averaged (a label counts as 1 from an average of 1/2 on); labels that are null or of documents that aren't
-there are not used. Without any usable label every score is 1/2. Repeated rows are scored alike; an empty table gives an
+there are not used. Of rows that repeat a labelled doc_id with different texts, the one with the least statistics is learned. Without any usable label every score is 1/2. Repeated rows are scored alike; an empty table gives an
 empty result; other columns, whatever their names, don't matter.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_training, ship, slices, table, utf8, whole_rows
+from .common import is_training, ship, slices, spread, table, utf8, whole_rows
 
 #: Expected size of the sample that is fitted.
 MAX_TRAIN = 30_000
@@ -145,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
     sample = training_sample(docs, labels, max_train)
-    sample = sample.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<float>")
-    got = sample.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    sample = spread(sample.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "quality", "text")).mapInArrow(run, "doc_id long, quality int, x array<float>")
+    got = sample.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
     x = np.array(got["x"].to_pylist(), np.float64).reshape(got.num_rows, len(NAMES))
     return fit(x, got["quality"].to_numpy().astype(np.float64))
 
@@ -160,7 +160,7 @@ def scored(docs: DataFrame, model: Trees) -> DataFrame:
             x = np.array([statistics(t) for t in utf8(b.column(1))], np.float64).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x.astype(np.float32).astype(np.float64)))], names=["doc", "score"])
 
-    packed = docs.select("doc", F.col("doc.text").alias("text"))
+    packed = spread(docs.select("doc", F.col("doc.text").alias("text")))
     return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("score", T.DoubleType())]))
 
 
