@@ -1,13 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a text in UTF-8 in segments of SEGMENT bytes, one direction forwards and one backwards, each a gated
-recurrent unit of HIDDEN cells; a linear layer on both states labels every byte with log-odds of the languages. A
-document's probabilities are the softmax of the mean log-probabilities over all its bytes that belong to letters, times
-POOL. Training, by backpropagation through time in numpy with Adam, takes SEGMENTS segments from a sample of TRAIN_DOCS
-expected documents of each language, picked by hash; both bound what the driver gets, at any size of the input.
-
-Text that is null or has no letter is `und` with score 0. A null doc_id is never held out of training, a null lang never
-learned. Without any labelled text every text is `und`. Repeated rows are judged alike; an empty table gives an empty
+The network reads a text in UTF-8, one direction forwards and one backwards, each a gated recurrent unit of HIDDEN cells;
+a linear layer on both states labels every byte with log-odds of the languages. So that a text's parts go through it side
+by side, it reads segments of SEGMENT bytes, each with the CONTEXT bytes before and after it, which warm up the states and
+aren't pooled there. A document's probabilities are the softmax of the mean log-probabilities over all its bytes that
+belong to letters, times POOL. Training, by backpropagation through time in numpy with Adam, takes SEGMENTS stretches of
+TRAIN_SEGMENT bytes from a sample of TRAIN_DOCS expected documents of each language, or fewer, so that all languages have
+MAX_DOCS, picked by hash; these bound what the driver gets, at any size of the input and any number of languages but for
+its table of languages.
+
+Text that is null or has no letter is `und` with score 0. A null doc_id counts as the empty text, whose remainder is 0, so
+it is held out of training; a null lang is never learned. Without any labelled text every text is `und`. Repeated rows are judged alike; an empty table gives an empty
 result; other columns don't matter.
 """
 
@@ -22,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_training, ship, slices, table, utf8
+from .common import is_training, ship, slices, spread, table, utf8
 
-SEGMENT, HIDDEN = 64, 8
+SEGMENT, CONTEXT, TRAIN_SEGMENT, HIDDEN = 128, 16, 64, 8
 #: Bounds of the training sample: documents of each language (expected), segments of each document.
-TRAIN_DOCS, SEGMENTS = 1500, 4
+TRAIN_DOCS, MAX_DOCS, SEGMENTS = 1500, 60_000, 4
 EPOCHS, BATCH, SEED = 8, 256, 7
 POOL = 20.0
 #: Segments that go through the network at a time.
@@ -82,7 +85,7 @@ def _log_softmax(s: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train_network(x: np.ndarray, y: np.ndarray, n_lang: int, epochs: int = EPOCHS, hidden: int = HIDDEN, seed: int = SEED) -> Network:
-    """x: segments x SEGMENT bytes, y: a language for each; every position is trained to say its segment's language."""
+    """x: segments x TRAIN_SEGMENT bytes, y: a language for each; every position is trained to say its segment's language."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape: (rng.normal(size=shape) * 0.3).astype(np.float32)
     p = [normal(2, 256, 3 * hidden), normal(2, 3 * hidden, hidden), np.zeros((2, hidden), np.float32), normal(n_lang, 2 * hidden), np.zeros(n_lang, np.float32)]
@@ -175,9 +178,10 @@ def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
             continue
         raw = np.frombuffer(text.encode(), np.uint8)
         n = -(-len(raw) // SEGMENT)
-        x, m = np.full(n * SEGMENT, 32, np.uint8), np.zeros(n * SEGMENT, bool)
-        x[: len(raw)], m[: len(raw)] = raw, mask
-        pending.append((x.reshape(n, SEGMENT), m.reshape(n, SEGMENT), np.full(n, i)))
+        x, m = np.full(n * SEGMENT + 2 * CONTEXT, 32, np.uint8), np.zeros((n, SEGMENT + 2 * CONTEXT), bool)
+        x[CONTEXT : CONTEXT + len(raw)] = raw
+        m[:, CONTEXT:-CONTEXT] = np.append(mask, np.zeros(n * SEGMENT - len(raw), bool)).reshape(n, SEGMENT)
+        pending.append((np.lib.stride_tricks.sliding_window_view(x, SEGMENT + 2 * CONTEXT)[::SEGMENT], m, np.full(n, i)))
         lanes += n
         if lanes >= 2 * LANES:
             flush()
@@ -188,35 +192,35 @@ def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
 
 
 def training_segments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Segments at evenly spaced places of sampled documents. The driver gets TRAIN_DOCS * SEGMENTS * SEGMENT bytes a language."""
+    """Stretches at evenly spaced places of sampled documents. The driver gets about MAX_DOCS * SEGMENTS * TRAIN_SEGMENT bytes at most."""
     ship(docs.sparkSession)
     known = docs.filter("lang IS NOT NULL").filter(is_training(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return np.zeros((0, SEGMENT), np.uint8), np.zeros(0, np.int64), []
-    shares = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, int(min(1.0, TRAIN_DOCS / n) * (1 << 30)))])
+        return np.zeros((0, TRAIN_SEGMENT), np.uint8), np.zeros(0, np.int64), []
+    shares = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, int(min(1.0, min(TRAIN_DOCS, MAX_DOCS / len(counts)) / n) * (1 << 30)))])
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < shares[F.col("lang")]).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids, langs, parts = [], [], []
             for doc_id, lang, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
-                if len(raw) >= SEGMENT:
-                    for k in range(n := min(SEGMENTS, len(raw) // SEGMENT)):
-                        at = (len(raw) - SEGMENT) * k // max(n - 1, 1)
+                if len(raw) >= TRAIN_SEGMENT:
+                    for k in range(n := min(SEGMENTS, len(raw) // TRAIN_SEGMENT)):
+                        at = (len(raw) - TRAIN_SEGMENT) * k // max(n - 1, 1)
                         ids.append(doc_id)
                         langs.append(lang)
-                        parts.append(raw[at : at + SEGMENT])
+                        parts.append(raw[at : at + TRAIN_SEGMENT])
                 elif raw:
                     ids.append(doc_id)
                     langs.append(lang)
-                    parts.append(raw.ljust(SEGMENT))
+                    parts.append(raw.ljust(TRAIN_SEGMENT))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["doc_id", "lang", "part"])
 
     got = picked.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, part binary").toArrow()
     rows = sorted(zip(got["lang"].to_pylist(), got["doc_id"].to_pylist(), got["part"].to_pylist()), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
     langs = sorted({r[0] for r in rows})
-    return np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, SEGMENT), np.array([langs.index(r[0]) for r in rows], np.int64), langs
+    return np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, TRAIN_SEGMENT), np.array([langs.index(r[0]) for r in rows], np.int64), langs
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -233,7 +237,7 @@ def identify(docs: DataFrame) -> DataFrame:
             named = ["und" if u else langs[k] for u, k in zip(none, best)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(named, pa.string()), pa.array(np.where(none, 0.0, q[np.arange(len(q)), best]), pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    out = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = spread(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
