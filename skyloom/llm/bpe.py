@@ -1,6 +1,6 @@
 """Byte-level BPE with a lexicon of frequent words in a minimal acyclic transducer.
 
-All words of the corpus are counted; the LEXICON_WORDS most frequent ones (a parameter that bounds the lexicon's size,
+All words of the corpus of up to LONGEST bytes are counted; the LEXICON_WORDS most frequent ones (a parameter that bounds the lexicon's size,
 not what is encoded) are merged once and compiled into a minimal acyclic automaton: words that end alike share their
 suffixes. Each arc carries the number of lexicon words that precede those below it, so the outputs along a word's path
 add up to its rank, which is its place in an array of token ids. States, arcs, outputs and ids lie in one flat file
@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, slices, table
+from .common import materialise, ship, slices, spread, table
 from .quality_rules import edge
 
 #: Words in the lexicon at most, and the longest that enter it, in bytes.
@@ -140,8 +140,9 @@ class Vocabulary:
 
 
 @lru_cache(4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str | None) -> Vocabulary:
+    """The vocabulary of a path, or else the installed one, found where this runs: on the driver or a worker."""
+    return Vocabulary(path or vocabulary_path())
 
 
 def build_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -262,7 +263,7 @@ def lexicon(path: str) -> Lexicon:
     return Lexicon(path)
 
 
-def count_words(docs: DataFrame, path: str) -> DataFrame:
+def count_words(docs: DataFrame, path: str | None) -> DataFrame:
     """(word, n) over all texts; each task adds up a batch's words before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +279,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
                 total = Counter()
         yield _counted(total)
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counted(total: Counter) -> pa.RecordBatch:
@@ -286,7 +287,7 @@ def _counted(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([total[w] for w in kept], pa.int64())], names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame, path: str, n_words: int) -> list[str]:
+def frequent_words(docs: DataFrame, path: str | None, n_words: int) -> list[str]:
     """About n_words of the words with the highest counts: all above a bucket of counts, and of that bucket a share picked by hash. No task sorts or merges words."""
     counts = materialise(count_words(docs, path).withColumn("bucket", F.expr(edge("n"))), "bpe-counts")
     room, last, share = n_words, None, 0.0
@@ -301,7 +302,7 @@ def frequent_words(docs: DataFrame, path: str, n_words: int) -> list[str]:
     return sorted(counts.filter(picked).select("word").toArrow()["word"].to_pylist())
 
 
-def make_lexicon(docs: DataFrame, path: str, n_words: int = LEXICON_WORDS) -> str:
+def make_lexicon(docs: DataFrame, path: str | None, n_words: int = LEXICON_WORDS) -> str:
     """Compiles the most frequent words and sends the file to the executors; returns its name there. The driver gets about n_words rows."""
     top = frequent_words(docs, path, n_words)
     voc = vocabulary(path)
@@ -353,7 +354,6 @@ def encode_digests(docs: DataFrame, path: str | None = None, n_words: int = LEXI
 
 def _run(docs: DataFrame, path: str | None, n_words: int, digests: bool) -> DataFrame:
     ship(docs.sparkSession)
-    path = path or vocabulary_path()
     name = make_lexicon(docs, path, n_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +372,7 @@ def _run(docs: DataFrame, path: str | None, n_words: int, digests: bool) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>"
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, schema)
+    return spread(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")).mapInArrow(run, schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
