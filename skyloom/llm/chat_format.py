@@ -170,3 +170,23 @@ def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     examples = format_chats(c.unionByName(more))
     # Examples stay in their partition and order from the sort on, so they are read back as they come.
     return examples.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _oracle() -> str:
+    """DuckDB SQL: the lengths of examples are running sums of those of their turns."""
+    body = "replace(text, '\\', '\\\\')"
+    for c in CONTROLS:
+        body = f"replace({body}, '{c}', '{c[0]}\\{c[1:]}')"
+    head = f"length({OPEN!r}) + 2 + length(replace(url_encode(role), '%2F', '/'))"
+    said = f"{END}{OPEN} ok {CLOSE}"
+    return f"""
+WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, '{ASSISTANT}', '{said}')),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+l AS (SELECT *, role = '{ASSISTANT}' AS mine, length({body}) AS n FROM o),
+r AS (SELECT *, {len(START)} + sum(CASE WHEN mine THEN 1 + n + {len(END)} ELSE {head} + n + {1 + len(CLOSE)} END) OVER (PARTITION BY conv_id ORDER BY k) AS upto, max(k) OVER (PARTITION BY conv_id) AS last FROM l)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (mine), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (mine), '')) AS loss_sha256,
+    coalesce(sum(upto) FILTER (mine OR k = last), 0)::BIGINT AS formatted_chars FROM r GROUP BY conv_id"""
+
+
+ORACLE = _oracle()
