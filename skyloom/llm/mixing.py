@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, whole_rows, words_of
+from .common import materialise, spread, table, whole_rows, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -105,7 +105,7 @@ def sample_ends(sized: DataFrame, alloc: DataFrame) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame, doc_id: Column, source: Column, text: Column, *keep: str) -> DataFrame:
-    return docs.select(*keep, doc_id.alias("doc_id"), source.alias("source"), F.size(words_of(text)).cast("long").alias("size"), _draw(doc_id, text).alias("draw")).withColumn("level", F.expr(LEVEL))
+    return spread(docs).select(*keep, doc_id.alias("doc_id"), source.alias("source"), F.size(words_of(text)).cast("long").alias("size"), _draw(doc_id, text).alias("draw")).withColumn("level", F.expr(LEVEL))
 
 
 def _drawn(sized: DataFrame, ends: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, slices, table, utf8, whole_rows
+from .common import materialise, ship, slices, spread, table, utf8, whole_rows
 from .graph import components
 from .license_scan import words_of
 
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 keys.append(band_hashes(g, bands, rows) if there else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "n_grams", "bands"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, fp binary, n_grams long, bands array<long>")
+    return spread(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")).mapInArrow(run, "doc_id long, fp binary, n_grams long, bands array<long>")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, materialise, table, whole_rows, words_of
+from .common import NOT_SPACE, materialise, spread, table, whole_rows, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -126,14 +126,14 @@ def judged(measured: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the rates, for every row of docs."""
-    measured = keyed(measures(docs.select("doc_id", "text", "lang", "source"), F.col("text")), F.col("lang"), F.col("source")).drop("text", "lang", "source")
+    measured = keyed(measures(spread(docs.select("doc_id", "text", "lang", "source")), F.col("text")), F.col("lang"), F.col("source")).drop("text", "lang", "source")
     measured = materialise(measured, "quality-measures")
     return judged(measured, limits(sketches(measured), prior)).select("doc_id", *BASE, "base_failed", "kept", *RATES)
 
 
 def filter_documents(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. Rows are written once with their measures, so texts are measured once."""
-    measured = keyed(measures(whole_rows(docs), F.col("doc.text")), F.col("doc.lang"), F.col("doc.source"))
+    measured = keyed(measures(spread(whole_rows(docs)), F.col("doc.text")), F.col("doc.lang"), F.col("doc.source"))
     measured = materialise(measured, "quality-measures")
     return judged(measured, limits(sketches(measured), prior)).filter("kept").select("doc.*")
 

@@ -23,8 +23,10 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
+        "op2_license_scan": license_scan.ORACLE,
         "op3_mixing": mixing.ORACLE,
         "op6_ngram_join": ngram_join.ORACLE,
         "op7_topk_search": topk_search.ORACLE,
+        "op8_chat_format": chat_format.ORACLE,
         "op10_url_filters": url_filters.ORACLE,
     }
