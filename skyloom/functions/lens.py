@@ -5,8 +5,10 @@ SQL columns: b, e, te, g, tg, s (te and tg in radians) and the image x, y.
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 
 
 def with_lens(df, x: str = "x", y: str = "y"):
@@ -41,8 +43,32 @@ def alpha(p, x: np.ndarray, y: np.ndarray):
     return ce * au - se * av + g * (np.cos(2 * tg) * x + np.sin(2 * tg) * y), se * au + ce * av + g * (np.sin(2 * tg) * x - np.cos(2 * tg) * y)
 
 
-def jacobian(p, x: np.ndarray, y: np.ndarray, h: float = 1e-6):
-    """Of the map from image to source, by central differences."""
-    (ax1, ay1), (ax0, ay0) = alpha(p, x + h, y), alpha(p, x - h, y)
-    (bx1, by1), (bx0, by0) = alpha(p, x, y + h), alpha(p, x, y - h)
-    return 1 - (ax1 - ax0) / (2 * h), -(bx1 - bx0) / (2 * h), -(ay1 - ay0) / (2 * h), 1 - (by1 - by0) / (2 * h)
+@dataclass(frozen=True)
+class LensModel:
+    """A kind of lens for the solver: its deflection alpha(p, x, y) -> (ax, ay), p being (b, e, te, g, tg, s)."""
+
+    alpha: Callable
+
+    def jacobian(self, p, x: np.ndarray, y: np.ndarray, h: float = 1e-6):
+        """Of the map from image to source, by central differences."""
+        (ax1, ay1), (ax0, ay0) = self.alpha(p, x + h, y), self.alpha(p, x - h, y)
+        (bx1, by1), (bx0, by0) = self.alpha(p, x, y + h), self.alpha(p, x, y - h)
+        return 1 - (ax1 - ax0) / (2 * h), -(bx1 - bx0) / (2 * h), -(ay1 - ay0) / (2 * h), 1 - (by1 - by0) / (2 * h)
+
+
+NSIEG = LensModel(alpha)
+
+
+def with_potential(df, x: str = "x", y: str = "y"):
+    """df with kappa (convergence of the ellipsoid), potential (of ellipsoid and shear, whose gradient is the deflection) and
+    amplification (size of the magnification); e must be above 0."""
+    from pyspark.sql import functions as F
+
+    d = with_lens(df, x, y).selectExpr("*", f"cos(te) * {x} + sin(te) * {y} _u", f"cos(te) * {y} - sin(te) * {x} _v", "1D - e _q")
+    d = d.selectExpr("*", "sqrt(_q * _q * (s * s + _u * _u) + _v * _v) _psi")
+    shear = f"g * (cos(2D * tg) * ({x} * {x} - {y} * {y}) / 2D + sin(2D * tg) * {x} * {y})"
+    rounded = "(cos(te) * _ax + sin(te) * _ay) * _u + (cos(te) * _ay - sin(te) * _ax) * _v"
+    d = d.selectExpr("*", f"ax - g * (cos(2D * tg) * {x} + sin(2D * tg) * {y}) _ax", f"ay - g * (sin(2D * tg) * {x} - cos(2D * tg) * {y}) _ay")
+    core = "b * _q * s * ln(sqrt((_psi + s) * (_psi + s) + (1D - _q * _q) * _u * _u) / ((1D + _q) * s))"
+    out = d.withColumns({"kappa": F.expr("b * _q / (2D * _psi)"), "potential": F.expr(f"{rounded} - {core} + {shear}"), "amplification": F.abs("mu")})
+    return out.select(*df.columns, "kappa", "potential", "amplification")

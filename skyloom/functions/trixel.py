@@ -1,18 +1,22 @@
 """The hierarchical triangular mesh: ids, names, corners, covers and sets of trixels.
 
-An id has the root (8 to 15) in its leading four bits and two bits for each level below. Ids and corners are folds over
-the levels in SQL, within one expression; a cone's cover is a tree walk in an Arrow UDF, which depends on the cone only.
+An id has the root (8 to 15) in its leading four bits and two bits for each level below. Ids, corners and covers descend
+the mesh in numpy, all rows of an Arrow batch together, a level at a time; the rest are SQL expressions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 MAX_LEVEL = 25
 EPS = 1e-15
 #: The octahedron's vertices, and each root's vertices from id 8 (S0) to 15 (N3).
@@ -20,47 +24,83 @@ VERTICES = ((0, 0, 1), (1, 0, 0), (0, 1, 0), (-1, 0, 0), (0, -1, 0), (0, 0, -1))
 ROOTS = ((1, 5, 2), (2, 5, 3), (3, 5, 4), (4, 5, 1), (1, 0, 4), (4, 0, 3), (3, 0, 2), (2, 0, 1))
 
 
-def _corner(i: int) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', {float(x)}D" for k, x in zip("xyz", VERTICES[i])) + ")"
+_CORNERS = np.array([[VERTICES[i] for i in r] for r in ROOTS], float)  # 8 x 3 x 3
+#: Rows that go through the mesh at a time.
+LANES = 65_536
 
 
-def _root_struct(root: str) -> str:
-    cases = " ".join(f"WHEN {8 + k} THEN named_struct('id', {8 + k}L, 'a', {_corner(r[0])}, 'b', {_corner(r[1])}, 'c', {_corner(r[2])})" for k, r in enumerate(ROOTS))
-    return f"CASE {root} {cases} END"
+def _unit(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Normalised midpoints, 3 x rows."""
+    m = p + q
+    return m / np.sqrt(m[0] * m[0] + m[1] * m[1] + m[2] * m[2])
 
 
-def _mid(p: str, q: str) -> str:
-    """The normalised midpoint of two corners; transform(array(..))[0] binds the sum once."""
-    total = f"named_struct('x', {p}.x + {q}.x, 'y', {p}.y + {q}.y, 'z', {p}.z + {q}.z)"
-    return f"transform(array({total}), m -> transform(array(sqrt(m.x * m.x + m.y * m.y + m.z * m.z)), n -> named_struct('x', m.x / n, 'y', m.y / n, 'z', m.z / n))[0])[0]"
+def _left(v: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether v lies left of the arc from p to q."""
+    return v[0] * (p[1] * q[2] - p[2] * q[1]) + v[1] * (p[2] * q[0] - p[0] * q[2]) + v[2] * (p[0] * q[1] - p[1] * q[0]) >= -EPS
 
 
-def _mids(s: str) -> str:
-    return f"named_struct('u', {_mid(f'{s}.b', f'{s}.c')}, 'v', {_mid(f'{s}.a', f'{s}.c')}, 'w', {_mid(f'{s}.a', f'{s}.b')})"
+def _descend(corners: list[np.ndarray], digit: Callable[[list, list], np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The children (corners a, b, c, each 3 x rows) that digit(corners, midpoints) chooses, and their digits."""
+    a, b, c = corners
+    mid = [_unit(b, c), _unit(a, c), _unit(a, b)]
+    k = digit(corners, mid)
+    u, v, w = mid
+    pick = lambda *options: np.choose(k[None, :], options)
+    return [pick(a, b, c, u), pick(w, u, v, v), pick(v, w, u, w)], k
 
 
-def _side(p: str, q: str) -> str:
-    """Whether (x, y, z) lies left of the arc from p to q."""
-    return f"(_x * ({p}.y * {q}.z - {p}.z * {q}.y) + _y * ({p}.z * {q}.x - {p}.x * {q}.z) + _z * ({p}.x * {q}.y - {p}.y * {q}.x) >= -{EPS!r}D)"
+def ids_of(v: np.ndarray, level: int) -> np.ndarray:
+    """The trixels of a level that hold the unit vectors, 3 x rows."""
+    x, y, z = (c > 0 for c in v)
+    root = np.where(z, np.where(x, np.where(y, 7, 4), np.where(y, 6, 5)), np.where(x, np.where(y, 0, 3), np.where(y, 1, 2)))
+    corners = [_CORNERS[root, i].T for i in range(3)]
+    out = root.astype(np.int64) + 8
 
+    def child(corners: list, mid: list) -> np.ndarray:
+        (a, b, c), (p, q, r) = corners, mid
+        inside = lambda i, j, k: _left(v, i, j) & _left(v, j, k) & _left(v, k, i)
+        return np.where(inside(a, r, q), 0, np.where(inside(b, p, r), 1, np.where(inside(c, q, p), 2, 3)))
 
-def _child(s: str, k: str, n: int) -> str:
-    a, b, c = ((f"{s}.a", f"{k}.w", f"{k}.v"), (f"{s}.b", f"{k}.u", f"{k}.w"), (f"{s}.c", f"{k}.v", f"{k}.u"), (f"{k}.u", f"{k}.v", f"{k}.w"))[n]
-    return f"named_struct('id', {s}.id * 4 + {n}L, 'a', {a}, 'b', {b}, 'c', {c})"
+    for _ in range(level):
+        corners, k = _descend(corners, child)
+        out = out * 4 + k
+    return out
 
 
-def with_trixel(df: DataFrame, x: Column, y: Column, z: Column, level: int, name: str = "htm_id") -> DataFrame:
-    """df with the id of the trixel of a level that holds the unit vector."""
+def corners_of(ids: np.ndarray) -> list[np.ndarray]:
+    """The corners a, b, c (each 3 x rows) of trixels of any level."""
+    level = (np.frexp(ids.astype(float))[1] - 4) // 2
+    root = ids >> (2 * level)
+    corners = [_CORNERS[root - 8, i].T.copy() for i in range(3)]
+    for depth in range(int(level.max(initial=0))):
+        on = np.flatnonzero(level > depth)
+        digit = (ids[on] >> (2 * (level[on] - depth - 1))) & 3
+        new, _ = _descend([c[:, on] for c in corners], lambda *_: digit)  # noqa: B023
+        for c, n in zip(corners, new):
+            c[:, on] = n
+    return corners
+
+
+def trixel_of(x: Column, y: Column, z: Column, level: int) -> Column:
+    """The id of the trixel of a level that holds the unit vector; null for a null one."""
     if not 0 <= level <= MAX_LEVEL:
         raise ValueError(f"level {level} isn't within 0 and {MAX_LEVEL}")
-    d = df.withColumns({"_x": x, "_y": y, "_z": z})
-    octant = "(CASE WHEN _z > 0 THEN CASE WHEN _x > 0 THEN CASE WHEN _y > 0 THEN 15 ELSE 12 END ELSE CASE WHEN _y > 0 THEN 14 ELSE 13 END END ELSE CASE WHEN _x > 0 THEN CASE WHEN _y > 0 THEN 8 ELSE 11 END ELSE CASE WHEN _y > 0 THEN 9 ELSE 10 END END END)"
-    if level == 0:
-        return d.withColumn(name, F.expr(f"CAST({octant} AS BIGINT)")).drop("_x", "_y", "_z")
-    inside = lambda a, b, c: f"{_side(a, b)} AND {_side(b, c)} AND {_side(c, a)}"
-    step = f"""transform(array({_mids("s")}), k -> CASE WHEN {inside("s.a", "k.w", "k.v")} THEN {_child("s", "k", 0)}
-        WHEN {inside("s.b", "k.u", "k.w")} THEN {_child("s", "k", 1)} WHEN {inside("s.c", "k.v", "k.u")} THEN {_child("s", "k", 2)} ELSE {_child("s", "k", 3)} END)[0]"""
-    return d.withColumn(name, F.expr(f"aggregate(sequence(1, {level}), {_root_struct(octant)}, (s, i) -> {step}, s -> s.id)")).drop("_x", "_y", "_z")
+
+    @F.arrow_udf("bigint")
+    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        v = np.stack([e.to_numpy(zero_copy_only=False) for e in (a, b, c)])
+        known = ~np.isnan(v).any(axis=0)
+        out = np.concatenate([ids_of(v[:, k : k + LANES], level) for k in range(0, v.shape[1], LANES)] or [np.zeros(0, np.int64)])
+        return pa.array(out, pa.int64(), mask=~known)
+
+    return run(x, y, z)
+
+
+def with_trixel(df: DataFrame, x: Column, y: Column, z: Column, level: int, name: str = "htm_id") -> DataFrame:
+    """df with the id of the trixel of a level that holds the unit vector."""
+    ship(df.sparkSession)
+    return df.withColumn(name, trixel_of(x, y, z, level))
 
 
 def level_of(htm_id: Column) -> Column:
@@ -80,30 +120,15 @@ def id_of(name: Column) -> Column:
 
 def vertices_of(htm_id: Column) -> Column:
     """Struct of the corners a, b, c (each x, y, z)."""
-    level = level_of(htm_id)
-    digits = F.substring(F.conv(htm_id.cast("string"), 10, 4), 3, 40)
-    state = F.element_at(F.array(*[F.expr(_root_struct(str(8 + k))) for k in range(8)]), (F.expr("CAST(1 AS INT)") + (F.conv(F.substring(F.conv(htm_id.cast("string"), 10, 4), 1, 2), 4, 10).cast("int") - 8)))
-
-    def step(s: Column, d: Column) -> Column:
-        mids = _mids_col(s)
-        return F.transform(F.array(mids), lambda k: F.when(d == "0", _child_col(s, k, 0)).when(d == "1", _child_col(s, k, 1)).when(d == "2", _child_col(s, k, 2)).otherwise(_child_col(s, k, 3)))[0]
-
-    steps = F.when(level > 0, F.split(digits, "")).otherwise(F.array().cast("array<string>"))
-    return F.aggregate(F.array_remove(steps, ""), state, step)
-
-
-def _mid_col(p: Column, q: Column) -> Column:
-    total = F.struct(*[(p[c] + q[c]).alias(c) for c in "xyz"])
-    return F.transform(F.array(total), lambda m: F.transform(F.array(F.sqrt(m["x"] * m["x"] + m["y"] * m["y"] + m["z"] * m["z"])), lambda n: F.struct(*[(m[c] / n).alias(c) for c in "xyz"]))[0])[0]
 
+    @F.arrow_udf(f"{', '.join(f'{k} struct<x double, y double, z double>' for k in 'abc')}")
+    def run(ids: pa.Array) -> pa.Array:
+        known = ids.is_valid()
+        corners = corners_of(ids.fill_null(8).to_numpy(zero_copy_only=False))
+        parts = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in c], names=list("xyz")) for c in corners]
+        return pa.StructArray.from_arrays(parts, names=list("abc"), mask=pc.invert(known))
 
-def _mids_col(s: Column) -> Column:
-    return F.struct(_mid_col(s["b"], s["c"]).alias("u"), _mid_col(s["a"], s["c"]).alias("v"), _mid_col(s["a"], s["b"]).alias("w"))
-
-
-def _child_col(s: Column, k: Column, n: int) -> Column:
-    a, b, c = ((s["a"], k["w"], k["v"]), (s["b"], k["u"], k["w"]), (s["c"], k["v"], k["u"]), (k["u"], k["v"], k["w"]))[n]
-    return F.struct((s["id"] * 4 + n).alias("id"), a.alias("a"), b.alias("b"), c.alias("c"))
+    return run(htm_id)
 
 
 def compare(a: Column, b: Column) -> Column:
@@ -141,39 +166,52 @@ def unite_sets(a: DataFrame, b: DataFrame, column: str = "htm_id") -> DataFrame:
     return every.join(covered, column, "left_anti")
 
 
-def _children(t: np.ndarray) -> list[np.ndarray]:
-    a, b, c = t
-    u, v, w = (m / np.linalg.norm(m) for m in (b + c, a + c, a + b))
-    return [np.array(x) for x in ((a, w, v), (b, u, w), (c, v, u), (u, v, w))]
+def cone_covers(centres: np.ndarray, cos_radius: float, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, id) of the trixels that cover the cones around the centres (rows x 3), by row and then id: whole trixels inside a cone,
+    and those of `level` that it cuts. Never misses a part of a cone. All cones descend together, a level at a time."""
+    radius = math.acos(max(-1.0, min(1.0, cos_radius)))
+    n = len(centres)
+    row, ids = np.repeat(np.arange(n), 8), np.tile(np.arange(8, 16), n)
+    corners = [np.tile(_CORNERS[:, i], (n, 1)).T for i in range(3)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    arc = lambda p, q: np.arccos(np.clip(p[0] * q[0] + p[1] * q[1] + p[2] * q[2], -1.0, 1.0))
+    for depth in range(level + 1):
+        a, b, c = corners
+        mid = a + b + c
+        mid = mid / np.sqrt(mid[0] * mid[0] + mid[1] * mid[1] + mid[2] * mid[2])
+        reach = np.maximum(np.maximum(arc(a, mid), arc(b, mid)), arc(c, mid))
+        apart = arc(mid, centres[row].T)
+        met = apart <= reach + radius + 1e-12
+        whole = met & ((apart + reach <= radius - 1e-12) | (depth == level))
+        found.append((row[whole], ids[whole]))
+        on = np.flatnonzero(met & ~whole)
+        if not len(on):
+            break
+        here = [v[:, on] for v in corners]
+        children = [_descend(here, lambda *_, k=k: np.full(len(on), k))[0] for k in range(4)]  # noqa: B023
+        corners = [np.concatenate([child[i] for child in children], axis=1) for i in range(3)]
+        row, ids = np.tile(row[on], 4), np.concatenate([ids[on] * 4 + k for k in range(4)])
+    row, ids = (np.concatenate([f[i] for f in found]) for i in range(2))
+    order = np.lexsort((ids, row))
+    return row[order], ids[order]
 
 
 def cone_cover(centre, cos_radius: float, level: int) -> list[int]:
-    """Ascending ids that cover the cone: whole trixels inside it, and those of `level` that it cuts. Never misses a part of the cone."""
-    p = np.asarray(centre, float)
-    radius = math.acos(max(-1.0, min(1.0, cos_radius)))
-    out: list[int] = []
-
-    def walk(htm_id: int, t: np.ndarray, depth: int) -> None:
-        mid = t.sum(axis=0)
-        mid = mid / np.linalg.norm(mid)
-        reach = math.acos(max(-1.0, min(1.0, float((t @ mid).min()))))
-        apart = math.acos(max(-1.0, min(1.0, float(mid @ p))))
-        if apart > reach + radius + 1e-12:
-            return
-        if apart + reach <= radius - 1e-12 or depth == level:
-            out.append(htm_id)
-            return
-        for k, child in enumerate(_children(t)):
-            walk(4 * htm_id + k, child, depth + 1)
-
-    for k, r in enumerate(ROOTS):
-        walk(8 + k, np.array([VERTICES[i] for i in r], float), 0)
-    return out
+    """Ascending ids of one cone's cover."""
+    return cone_covers(np.asarray(centre, float)[None, :], cos_radius, level)[1].tolist()
 
 
 def cover_column(x: Column, y: Column, z: Column, cos_radius: float, level: int) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def cover(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([cone_cover(v, cos_radius, level) for v in zip(a, b, c)])
+    """Array of the ids that cover the cone around a unit vector; null for a null one."""
+
+    @F.arrow_udf("array<bigint>")
+    def cover(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        v = np.stack([e.to_numpy(zero_copy_only=False) for e in (a, b, c)], axis=1)
+        known = ~np.isnan(v).any(axis=1)
+        row, ids = cone_covers(v[known], cos_radius, level)
+        counts = np.zeros(len(v), np.int64)
+        counts[known] = np.bincount(row, minlength=int(known.sum()))
+        ends = np.append(0, np.cumsum(counts))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64()), mask=pa.array(~known))
 
     return cover(x, y, z)

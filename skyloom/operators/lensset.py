@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..sources.generators import normal
 
-LENS = ("b", "e", "te", "g", "tg", "s", "xs", "ys")
+#: Lens and source parameters, and what they are for observed images, which have none.
+LENS = {"b": 1.0, "e": 0.0, "te": 0.0, "g": 0.0, "tg": 0.0, "s": 0.0, "xs": 0.0, "ys": 0.0}
+#: Fixed value: the columns of a learning set.
+OUTPUT = "class,b,e,te,g,tg,s,xs,ys,xd,yd,x1,y1,m1,x2,y2,m2,x3,y3,m3,x4,y4,m4"
 
 
 def parse_output(text: str) -> list[str]:
@@ -23,8 +26,11 @@ def parse_output(text: str) -> list[str]:
 
 
 def configurations(images: DataFrame, *lens: str) -> DataFrame:
-    """config_id, images (array of mag, x, y by magnitude) and the lens columns, from a row for each image."""
-    return images.groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct("mag", "x", "y"))).alias("images"), *[F.first(c).alias(c) for c in lens])
+    """config_id, images (array of mag, x, y by magnitude) and the lens columns, from a row for each image. Lens columns that
+    differ within a configuration end the query."""
+    conf = images.groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct("mag", "x", "y"))).alias("images"), *[f(c).alias(f"{n}_{c}") for c in lens for n, f in (("lo", F.min), ("hi", F.max))])
+    one = lambda c: F.when(F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}")), F.col(f"lo_{c}")).otherwise(F.raise_error(F.concat(F.lit(f"{c} differs within configuration "), F.col("config_id").cast("string"))))
+    return conf.select("config_id", "images", *[one(c).alias(c) for c in lens])
 
 
 def max_separation(images: Column) -> Column:
@@ -34,11 +40,15 @@ def max_separation(images: Column) -> Column:
 
 def with_noise(conf: DataFrame, n: int = 1, xy: float = 0.0, mag: float = 0.0, relative: bool = False, seed: int = 1) -> DataFrame:
     """n noisy realisations of each configuration, in order of the noisy magnitudes; relative scales positions' noise by the largest separation."""
-    d = conf.withColumn("realisation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    d = d.withColumn("_scale", max_separation(F.col("images")) * xy if relative else F.lit(float(xy)))
-    key = lambda i, k: normal(seed, F.col("config_id"), F.col("realisation"), i, F.lit(k))
-    noisy = F.transform("images", lambda v, i: F.struct((v["mag"] + key(i, 0) * mag).alias("mag"), (v["x"] + key(i, 1) * F.col("_scale")).alias("x"), (v["y"] + key(i, 2) * F.col("_scale")).alias("y")))
-    return d.withColumn("images", F.array_sort(noisy)).drop("_scale")
+    d = conf.withColumn("_scale", max_separation(F.col("images")) * xy if relative else F.lit(float(xy)))
+
+    def noisy(r: Column) -> Column:
+        key = lambda i, k: normal(seed, F.col("config_id"), r, i, F.lit(k))
+        return F.array_sort(F.transform("images", lambda v, i: F.struct((v["mag"] + key(i, 0) * mag).alias("mag"), (v["x"] + key(i, 1) * F.col("_scale")).alias("x"), (v["y"] + key(i, 2) * F.col("_scale")).alias("y"))))
+
+    # Out of an explode, noise is drawn once for each image, not once for each column made from it.
+    d = d.withColumn("_r", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.struct(r.alias("realisation"), noisy(r).alias("images")))))
+    return d.withColumns({"realisation": F.col("_r.realisation"), "images": F.col("_r.images")}).drop("_scale", "_r")
 
 
 def select_images(conf: DataFrame, indices: list[int]) -> DataFrame:
@@ -89,7 +99,7 @@ def wide(conf: DataFrame, output: str, simulated: bool = False) -> DataFrame:
     return conf.select("config_id", *[column(t).alias(t) for t in parse_output(output)])
 
 
-def dataset(images: DataFrame, input: str = "1,2,3,4", output: str = "class,nimg,x1,y1,m1,x2,y2,m2,x3,y3,m3,x4,y4,m4", norm: bool = False, sph: bool = False, n_noise: int = 1, xy_noise: float = 0.0, mag_noise: float = 0.0, relative: bool = False, seed: int = 1, simulated: bool = False) -> DataFrame:
+def dataset(images: DataFrame, input: str = "1,2,3,4", output: str = OUTPUT, norm: bool = False, sph: bool = False, n_noise: int = 1, xy_noise: float = 0.0, mag_noise: float = 0.0, relative: bool = False, seed: int = 1, simulated: bool = False) -> DataFrame:
     """The whole chain, from a row for each image to a row for each realisation."""
     places = [int(t) for t in input.split(",")]
     if norm and len(set(places)) < 2:
@@ -97,6 +107,7 @@ def dataset(images: DataFrame, input: str = "1,2,3,4", output: str = "class,nimg
     if xy_noise < 0 or mag_noise < 0:
         raise ValueError("noise must not be negative")
     conf = configurations(images, *[c for c in LENS if c in images.columns])
+    conf = conf.withColumns({c: F.lit(v) for c, v in LENS.items() if c not in images.columns})
     conf = spherical(conf) if sph else conf
     if n_noise > 1 or xy_noise or mag_noise:
         conf = with_noise(conf, n_noise, xy_noise, mag_noise, relative, seed)

@@ -1,7 +1,8 @@
 """Least squares by Adam, and the separating hyperplane made with it.
 
-A model gives, in SQL over w0..wk as literals and x0..xk as columns, its value and derivatives. Each step is one
-aggregate that yields cost and gradient together; tables that fit a driver's memory go to numpy once instead.
+A model gives its value and the value's derivative by the score, as Columns and for numpy. Each step is one aggregate that
+yields cost and gradient together, of rows that are written and cached once. With local=True, for tables that fit the
+driver's memory, the same steps run there in numpy.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import discard, materialise
 
-#: Cells up to which a fit runs on the driver.
-LOCAL_CELLS = 2_000_000
+#: Modulus of the hashes that draw batches.
+PRIME = (1 << 31) - 1
 
 
 def score(weights: list[float], x: list[Column]) -> Column:
@@ -46,13 +47,14 @@ LINEAR = Model(lambda z: z, lambda z: F.lit(1.0), lambda z: z, np.ones_like)
 SIGMOID = Model(sigmoid, lambda z: sigmoid(z) * (1 - sigmoid(z)), _np_sigmoid, lambda z: _np_sigmoid(z) * (1 - _np_sigmoid(z)))
 
 
-def cost_gradient(rows: DataFrame, weights: list[float], model: Model = SIGMOID) -> DataFrame:
-    """One row: cost, g0..gk. rows: y, x (array), w."""
+def cost_gradient(rows: DataFrame, weights: list[float], model: Model = SIGMOID, drawn: Column | None = None) -> DataFrame:
+    """One row: cost, g0..gk. rows: y, x (array), w. With drawn, the gradient is that of the rows for which it is true."""
     x = [F.col("x")[k] for k in range(len(weights) - 1)]
     d = rows.withColumn("_z", score(weights, x))
     d = d.withColumns({"_f": model.value(F.col("_z")) - F.col("y"), "_s": model.slope(F.col("_z"))})
     w2 = F.col("w") * F.col("w")
-    return d.agg((0.5 * F.sum(w2 * F.col("_f") * F.col("_f"))).alias("cost"), *[F.sum(w2 * F.col("_f") * F.col("_s") * v).alias(f"g{k}") for k, v in enumerate([F.lit(1.0), *x])])
+    part = F.lit(1.0) if drawn is None else F.when(drawn, 1.0).otherwise(0.0)
+    return d.agg((0.5 * F.sum(w2 * F.col("_f") * F.col("_f"))).alias("cost"), *[F.sum(part * w2 * F.col("_f") * F.col("_s") * v).alias(f"g{k}") for k, v in enumerate([F.lit(1.0), *x])])
 
 
 def adam(cost_and_gradient: Callable[[np.ndarray, int], tuple[float, np.ndarray]], start: np.ndarray, eps: float = 1e-6, alpha: float = 1e-3, b1: float = 0.9, b2: float = 0.999, epsilon: float = 1e-8, max_iterations: int = 10_000) -> tuple[np.ndarray, float, int]:
@@ -69,33 +71,51 @@ def adam(cost_and_gradient: Callable[[np.ndarray, int], tuple[float, np.ndarray]
         w = w - alpha * (m / (1 - b1**step)) / (np.sqrt(v / (1 - b2**step)) + epsilon)
 
 
-def fit(rows: DataFrame, n_attributes: int, model: Model = SIGMOID, start: list[float] | None = None, batch_size: int | None = None, **options) -> tuple[np.ndarray, float, int]:
-    """Fits rows (row_id, y, x, w). With batch_size, gradients come from that many rows, drawn anew by hash at each step; the cost always from all."""
+def draw(step: int) -> tuple[int, int]:
+    """(a, b): at a step, a row's number is (a * its hash + b) mod PRIME, anew for each step."""
+    a, b = np.random.default_rng(step).integers(1, PRIME, 2)
+    return int(a), int(b)
+
+
+def fit(rows: DataFrame, n_attributes: int, model: Model = SIGMOID, start: list[float] | None = None, batch_size: int | None = None, local: bool = False, **options) -> tuple[np.ndarray, float, int]:
+    """Fits rows (row_id, y, x, w). With batch_size, gradients come from about that many rows, drawn anew by hash of row_id at each
+    step; the cost always from all. local=True takes the rows to the driver, where the same rows are drawn and the same sums made."""
     start = np.zeros(n_attributes + 1) if start is None else np.asarray(start, float)
-    n = rows.count()
-    if n * (n_attributes + 2) <= LOCAL_CELLS:
-        t = rows.select("y", "w", "x").toArrow()
-        y, w2 = t["y"].to_numpy(), t["w"].to_numpy() ** 2
+    keyed = F.pmod(F.xxhash64("row_id"), F.lit(PRIME)).alias("_h") if batch_size else F.lit(0).alias("_h")
+    rows = rows.select("y", "w", "x", keyed)
+    if local:
+        t = rows.toArrow()
+        n, y, w2, h = t.num_rows, t["y"].to_numpy(), t["w"].to_numpy() ** 2, t["_h"].to_numpy().astype(np.int64)
         x = np.column_stack([np.ones(n), np.array(t["x"].to_pylist(), float).reshape(n, n_attributes)])
-        rng = np.random.default_rng(0)
 
-        def local(w: np.ndarray, step: int) -> tuple[float, np.ndarray]:
+        def here(w: np.ndarray, step: int) -> tuple[float, np.ndarray]:
             z = x @ w
             f = model.np_value(z) - y
             r = w2 * f * model.np_slope(z)
-            pick = slice(None) if not batch_size or batch_size >= n else rng.choice(n, batch_size, replace=False)
+            pick = slice(None)
+            if batch_size and batch_size < n:
+                a, b = draw(step)
+                pick = (a * h + b) % PRIME < PRIME * batch_size // n
             return 0.5 * float((w2 * f * f).sum()), x[pick].T @ r[pick]
 
-        return adam(local, start, **options)
+        return adam(here, start, **options)
+    written = materialise(rows, "least-squares")
+    cached = written.persist()
+    n = cached.count()
 
     def spread(w: np.ndarray, step: int) -> tuple[float, np.ndarray]:
-        full = cost_gradient(rows, list(w), model).first()
-        if not batch_size or batch_size >= n:
-            return full["cost"], np.array(full[1:], float)
-        part = rows.filter(F.pmod(F.xxhash64("row_id", F.lit(step)), F.lit(1 << 40)) < int((1 << 40) * batch_size / n))
-        return full["cost"], np.array(cost_gradient(part, list(w), model).first()[1:], float)
+        drawn = None
+        if batch_size and batch_size < n:
+            a, b = draw(step)
+            drawn = F.pmod(F.lit(a) * F.col("_h") + F.lit(b), F.lit(PRIME)) < PRIME * batch_size // n
+        got = cost_gradient(cached, list(w), model, drawn).first()
+        return got["cost"], np.array(got[1:], float)
 
-    return adam(spread, start, **options)
+    try:
+        return adam(spread, start, **options)
+    finally:
+        cached.unpersist()
+        discard(written)
 
 
 def balanced(rows: DataFrame) -> DataFrame:
@@ -120,20 +140,35 @@ def confusion(rows: DataFrame, weights: list[float]) -> DataFrame:
     return t.withColumns({"tpr": F.try_divide("tp", "np"), "fpr": F.try_divide("fp", "nn"), "precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "accuracy": F.try_divide(F.col("tp") + F.col("nn") - F.col("fp"), F.col("np") + F.col("nn"))})
 
 
-def best_threshold(rows: DataFrame) -> DataFrame:
-    """One row, cut and gain: `score > cut` as class 1 has the largest TPR - FPR; ties go to the least cut. rows: score, y (0 or 1).
+def best_threshold(rows: DataFrame, criterion: str = "rates") -> DataFrame:
+    """One row, cut and gain, for `score > cut` as class 1; rows: score, y (0 or 1).
 
-    No row comes out if a class is missing; rows with a null or NaN score or a null y count for nothing. Counts are summed
-    for each score, ranges of scores are summed on their own, and only the ranges' totals meet in one window."""
+    criterion: rates, the largest TPR - FPR; information, the least mean entropy of both sides (gain is minus that, in nats);
+    mean, the middle of both classes' mean scores (gain is its TPR - FPR). Ties go to the least cut. No row comes out if a
+    class is missing; rows with a null or NaN score or a null y count for nothing. Counts are summed for each score, ranges
+    of scores are summed on their own, and only the ranges' totals meet in one window."""
+    if criterion not in ("rates", "information", "mean"):
+        raise ValueError(f"unknown criterion {criterion}")
     n = lambda k: F.sum((F.col("y") == k).cast("decimal(38,0)"))
     by_score = rows.filter("score IS NOT NULL AND NOT isnan(score) AND y IS NOT NULL").groupBy("score").agg(n(1).alias("p"), n(0).alias("q"))
     parts = materialise(by_score.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "threshold-scores")
+    total = lambda c: F.sum(c).cast("double")
+    weighed = lambda c: F.try_divide(F.sum(F.col("score") * F.col(c).cast("double")), total(c))
+    whole = parts.agg(total("p").alias("np"), total("q").alias("nq"), ((weighed("p") + weighed("q")) / 2).alias("mid")).first()
+    n_p, n_q = F.lit(whole["np"] or None).cast("double"), F.lit(whole["nq"] or None).cast("double")
+    if criterion == "mean":
+        above = lambda c: F.sum(F.when(F.col("score") > F.lit(whole["mid"]), F.col(c)).otherwise(0)).cast("double")
+        return parts.agg(F.lit(whole["mid"]).cast("double").alias("cut"), F.round(above("p") / n_p - above("q") / n_q, 12).alias("gain")).filter("gain IS NOT NULL")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy("part").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     totals = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("decimal(38,0)").alias(f"{c}0") for c in ("p", "q")])
-    whole = parts.agg(F.sum("p").cast("double").alias("np"), F.sum("q").cast("double").alias("nq")).first()
     upto = Window.partitionBy("part").orderBy("score")
     cum = parts.join(totals, "part").select("score", *[(F.sum(c).over(upto) + F.col(f"{c}0")).cast("double").alias(c) for c in ("p", "q")])
-    gain = F.col("q") / F.lit(whole["nq"] or None) - F.col("p") / F.lit(whole["np"] or None)
+    if criterion == "rates":
+        gain = F.col("q") / n_q - F.col("p") / n_p
+    else:
+        plogp = lambda a, b: F.when(a > 0, a * F.log(a / (a + b))).otherwise(0.0)
+        p, q = F.col("p"), F.col("q")
+        gain = (plogp(p, q) + plogp(q, p) + plogp(n_p - p, n_q - q) + plogp(n_q - q, n_p - p)) / (n_p + n_q)
     best = cum.select("score", F.round(gain, 12).alias("gain")).filter("gain IS NOT NULL")
     return best.agg(F.max_by("score", F.struct("gain", (-F.col("score")).alias("s"))).alias("cut"), F.max("gain").alias("gain")).filter("gain IS NOT NULL")

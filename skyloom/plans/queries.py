@@ -176,12 +176,6 @@ def cluster_max_parent(s, d):
     return K.clusters(cust(s, d), SEP, nmax=4, max_parent_size=5, rdensity=RADIUS, dmax=400.0).select(F.expr(_MEMBERS).alias("members"), "nimg", r6("density").alias("density"))
 
 
-@query("t AS (SELECT 1), " + _TRIPLES + " SELECT concat_ws(',', a, b, c) AS members, unnest([a, b, c]) AS obj_id FROM t3")
-def cluster_members(s, d):
-    c = cust(s, d)
-    return K.cluster_members(K.clusters(c, SEP, nmax=3), c).select(F.expr(_MEMBERS).alias("members"), "obj_id")
-
-
 def _fmt(v: str, big: float, mid: float, low: float) -> tuple[str, str, str]:
     a = f"floor({v} / {big!r}::DOUBLE)"
     rest = f"greatest(0, {v} - {a} * {big!r}::DOUBLE)"
@@ -194,6 +188,15 @@ _RA = "concat_ws(':', " + ", ".join(_fmt("ra", A.HOUR, A.MINUTE, A.SECOND)) + ")
 _DEC = "CASE WHEN dec < 0 THEN '-' ELSE '+' END || concat_ws(':', " + ", ".join(_fmt("abs(dec)", A.DEGREE, A.ARCMIN, A.ARCSEC)) + ")"
 
 
+_TRIPLE_SKY = "tm AS (SELECT concat_ws(',', a, b, c) AS members, unnest([a, b, c]) AS obj_id, unnest([1, 2, 3])::BIGINT AS cluster_seq FROM t3), tz AS (SELECT members, sum(ux) AS x, sum(uy) AS y, sum(uz) AS z FROM tm JOIN cust USING (obj_id) GROUP BY members), tp AS (SELECT members, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END AS ra, asin(z / sqrt(x * x + y * y + z * z)) AS dec FROM tz)"
+
+
+@query("t AS (SELECT 1), " + _TRIPLES + f", {_TRIPLE_SKY} SELECT members, obj_id, cluster_seq, regexp_replace({_RA} || {_DEC}, '[:.]', '', 'g') AS candidate_id FROM tm JOIN tp USING (members)")
+def cluster_members(s, d):
+    c = cust(s, d)
+    return K.cluster_members(K.clusters(c, SEP, nmax=3), c).select(F.expr(_MEMBERS).alias("members"), "obj_id", "cluster_seq", "candidate_id")
+
+
 @query(f"SELECT obj_id, {_RA} AS ra_text, {_DEC} AS dec_text FROM cust")
 def sexagesimal_format(s, d):
     return cust(s, d).select("obj_id", A.format_ra(F.col("ra")).alias("ra_text"), A.format_dec(F.col("dec")).alias("dec_text"))
@@ -214,11 +217,19 @@ def angle_parse(s, d):
     return table(s, d, "part").select("p_partkey", r6(A.parse_angle(text), 12).alias("angle"))
 
 
-@query(f"SELECT p_partkey, {q6(f'(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) * ((p_partkey % 20) * {A.HOUR!r}::DOUBLE + (p_partkey % 60) * {A.MINUTE!r}::DOUBLE + (p_partkey % 60) * {A.SECOND!r}::DOUBLE) + (CASE WHEN p_partkey % 2 = 0 OR (p_partkey % 60 = 0) THEN 0 ELSE 2 * pi() END)', 9)} AS ra, {q6(f'(p_partkey % 90) * {A.DEGREE!r}::DOUBLE', 9)} AS dec FROM part WHERE p_partkey % 60 <> 0")
+_RA_VALUE = f"(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) * ((p_partkey % 20) * {A.HOUR!r}::DOUBLE + (p_partkey % 60) * {A.MINUTE!r}::DOUBLE + (p_partkey % 60) * {A.SECOND!r}::DOUBLE) + (CASE WHEN p_partkey % 2 = 0 OR (p_partkey % 60 = 0) THEN 0 ELSE 2 * pi() END)"
+_DEC_VALUE = f"CASE WHEN p_partkey % 3 = 0 THEN (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) * ((p_partkey % 130) * {A.DEGREE!r}::DOUBLE + (p_partkey % 59) * {A.ARCMIN!r}::DOUBLE + (p_partkey % 59) * {A.ARCSEC!r}::DOUBLE) WHEN p_partkey % 3 = 1 THEN (p_partkey % 401 - 200) * {A.DEGREE!r}::DOUBLE ELSE (p_partkey % 7 - 3) / 2.0::DOUBLE END"
+_FOLDED = "CASE WHEN abs(d) <= pi() / 2 THEN d WHEN d + pi() / 2 - floor((d + pi() / 2) / (2 * pi())) * 2 * pi() <= pi() THEN d - floor((d + pi() / 2) / (2 * pi())) * 2 * pi() ELSE pi() - d + floor((d + pi() / 2) / (2 * pi())) * 2 * pi() END"
+
+
+@query(f"SELECT p_partkey, {q6('r', 9)} AS ra, {q6(_FOLDED, 9)} AS dec FROM (SELECT p_partkey, {_RA_VALUE} AS r, {_DEC_VALUE} AS d FROM part)")
 def position_parse(s, d):
     p = F.col("p_partkey")
-    text = F.concat(F.when(p % 2 == 0, F.lit("")).otherwise(F.lit("-")), F.concat_ws(":", (p % 20).cast("string"), (p % 60).cast("string"), (p % 60).cast("string")))
-    return table(s, d, "part").select("p_partkey", r6(A.parse_ra(text), 9).alias("ra"), r6(A.parse_dec(F.concat((p % 90).cast("string"), F.lit("d"))), 9).alias("dec"))
+    sign = F.when(p % 2 == 0, F.lit("")).otherwise(F.lit("-"))
+    ra = F.concat(sign, F.concat_ws(":", (p % 20).cast("string"), (p % 60).cast("string"), (p % 60).cast("string")))
+    sexagesimal = F.concat(sign, F.concat_ws(":", (p % 130).cast("string"), (p % 59).cast("string"), (p % 59).cast("string")))
+    dec = F.when(p % 3 == 0, sexagesimal).when(p % 3 == 1, F.concat((p % 401 - 200).cast("string"), F.lit("d"))).otherwise(((p % 7 - 3) / F.lit(2.0)).cast("string"))
+    return table(s, d, "part").select("p_partkey", r6(A.parse_ra(ra), 9).alias("ra"), r6(A.parse_dec(dec), 9).alias("dec"))
 
 
 @query("SELECT obj_id, " + ", ".join(f"{q6(c, 9)} AS {c}" for c in ("ux", "uy", "uz")) + " FROM cust")
@@ -294,10 +305,10 @@ def htm_level(s, d):
     return table(s, d, "orders").select("o_orderkey", T.level_of(made).alias("level"))
 
 
-@query(_WALK + " SELECT DISTINCT id AS htm_id, " + ", ".join(f"{q6(c, 9)} AS {c}" for c in ("px", "qy", "rz")) + " FROM tri")
+@query(_WALK + " SELECT DISTINCT id AS htm_id, " + ", ".join(f"{q6(o + c, 9)} AS {o}{c}" for o in "pqr" for c in "xyz") + " FROM tri")
 def htm_vertices(s, d):
     v = _ids(s, d).select("htm_id").distinct().withColumn("t", T.vertices_of(F.col("htm_id")))
-    return v.select("htm_id", r6("t.a.x", 9).alias("px"), r6("t.b.y", 9).alias("qy"), r6("t.c.z", 9).alias("rz"))
+    return v.select("htm_id", *[r6(f"t.{k}.{c}", 9).alias(f"{o}{c}") for o, k in zip("pqr", "abc") for c in "xyz"])
 
 
 def _area_sql() -> str:
@@ -307,9 +318,13 @@ def _area_sql() -> str:
     return f"2 * atan2({volume}, 1 + {dot('p', 'q')} + {dot('p', 'r')} + {dot('q', 'r')})"
 
 
-@query(_WALK + f" SELECT id AS htm_id, {_NAME} AS htm_name, n, {q6(_area_sql(), 9)} AS area FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id) AS k FROM tri) WHERE k = 1")
+_CENTRE = "atan2(py + qy + ry, px + qx + rx)"
+_HEIGHT = "(pz + qz + rz) / sqrt((px + qx + rx)**2 + (py + qy + ry)**2 + (pz + qz + rz)**2)"
+
+
+@query(_WALK + f" SELECT id AS htm_id, {_NAME} AS htm_name, n, {q6(f'CASE WHEN {_CENTRE} < 0 THEN {_CENTRE} + 2 * pi() ELSE {_CENTRE} END', 9)} AS ra, {q6(f'asin({_HEIGHT})', 9)} AS dec, {q6(_area_sql(), 12)} AS area, {q6(f'n / ({_area_sql()})', 3)} AS density FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id) AS k FROM tri) WHERE k = 1")
 def htm_density(s, d):
-    return G.trixel_density(ords(s, d), LEVEL).select("htm_id", "htm_name", "n", r6("area", 9).alias("area"))
+    return G.trixel_density(ords(s, d), LEVEL).select("htm_id", "htm_name", "n", r6("ra", 9).alias("ra"), r6("dec", 9).alias("dec"), r6("area", 12).alias("area"), r6("density", 3).alias("density"))
 
 
 _SETS = "sa AS (SELECT DISTINCT (2048 + o_orderkey % 400)::BIGINT AS h FROM orders), sb AS (SELECT DISTINCT (512 + o_custkey % 300)::BIGINT AS h FROM orders) "
@@ -335,9 +350,28 @@ def htm_compare(s, d):
     return table(s, d, "orders").select("o_orderkey", T.compare((F.lit(2048) + F.col("o_orderkey") % 400).cast("long"), (F.lit(512) + F.col("o_custkey") % 300).cast("long")).alias("c"))
 
 
-@query()
+COVER_LEVEL = 6
+
+
+def _cover_sql() -> str:
+    """Trixels that meet a cone, level by level; kind 1 descends, 2 belongs to the cover."""
+    roots = ", ".join("(" + ", ".join([str(8 + k)] + [f"{float(x)}::DOUBLE" for i in r for x in T.VERTICES[i]]) + ")" for k, r in enumerate(T.ROOTS))
+    names = ", ".join(f"{o}{c}" for o in "pqr" for c in "xyz")
+    length = lambda a, b: "sqrt(" + " + ".join(f"({a}{c} + {b}{c})**2" for c in "xyz") + ")"
+    mids = ", ".join(f"({a}{c} + {b}{c}) / {length(a, b)} AS {o}{c}" for o, a, b in ("dqr", "epr", "fpq") for c in "xyz")
+    new = ", ".join(f"CASE k WHEN 0 THEN {t[0]}{c} WHEN 1 THEN {t[1]}{c} WHEN 2 THEN {t[2]}{c} ELSE {t[3]}{c} END AS {o}{c}" for o, t in (("p", "pqrd"), ("q", "fdee"), ("r", "efdf")) for c in "xyz")
+    sums = ", ".join(f"p{c} + q{c} + r{c} AS s{c}" for c in "xyz")
+    arc = lambda a, b: f"acos(greatest(-1, least(1, ({' + '.join(f'{a}{c} * {b}{c}' for c in 'xyz')}) / sqrt(sx * sx + sy * sy + sz * sz))))"
+    radius = f"{math.acos(math.cos(SEP))!r}::DOUBLE"
+    kind = f"CASE WHEN apart > reach + {radius} + 1e-12 THEN 0 WHEN apart + reach <= {radius} - 1e-12 OR level = {COVER_LEVEL} THEN 2 ELSE 1 END AS kind"
+    judged = lambda rows: f"SELECT level, obj_id, ux, uy, uz, id, {names}, {kind} FROM (SELECT *, greatest({arc('p', 's')}, {arc('q', 's')}, {arc('r', 's')}) AS reach, {arc('u', 's')} AS apart FROM (SELECT *, {sums} FROM ({rows})))"
+    return f"""cr(id, {names}) AS (VALUES {roots}), cv AS ({judged(f"SELECT 0 AS level, obj_id, ux, uy, uz, cr.id::BIGINT AS id, {names} FROM supp, cr")}
+        UNION ALL {judged(f"SELECT level + 1 AS level, obj_id, ux, uy, uz, id * 4 + k AS id, {new} FROM (SELECT *, {mids} FROM cv WHERE kind = 1), range(4) n(k)")})"""
+
+
+@query(_cover_sql() + " SELECT obj_id, id AS htm_id FROM cv WHERE kind = 2")
 def cone_cover(s, d):
-    return supp(s, d).select("obj_id", F.explode(T.cover_column(F.col("ux"), F.col("uy"), F.col("uz"), math.cos(SEP), 6)).alias("htm_id"))
+    return supp(s, d).select("obj_id", F.explode(T.cover_column(F.col("ux"), F.col("uy"), F.col("uz"), math.cos(SEP), COVER_LEVEL)).alias("htm_id"))
 
 
 # Statistics
@@ -398,11 +432,27 @@ def circ_conf(s, d):
     return _rn(s, d).select("event_type", r6(C.circ_confidence(F.col("r"), F.col("n"), 2.0)).alias("c"))
 
 
-@query(_Z + f"SELECT event_type, {q6('CASE WHEN r < 0.53 THEN 2 * r + r**3 + 5 * r**5 / 6 WHEN r < 0.85 THEN -0.4 + 1.39 * r + 0.43 / (1 - r) ELSE 1 / (r**3 - 4 * r**2 + 3 * r) END')} AS kappa FROM rn")
+_KAPPA = "CASE WHEN r < 0.53 THEN 2 * r + r**3 + 5 * r**5 / 6 WHEN r < 0.85 THEN -0.4 + 1.39 * r + 0.43 / (1 - r) ELSE 1 / nullif(r**3 - 4 * r**2 + 3 * r, 0) END"
+
+
+@query(_Z + f"SELECT event_type, {q6(_KAPPA)} AS kappa FROM rn")
 def circ_kappa(s, d):
     return _rn(s, d).select("event_type", r6(C.circ_kappa(F.col("r"), F.col("n"))).alias("kappa"))
 
 
+_FEW = "fw AS (SELECT event_type, part, n, r, " + _KAPPA + " AS k FROM (SELECT event_type, floor(x * 400)::BIGINT % 200 AS part, count(*)::DOUBLE AS n, round(sqrt(sum(sin(y))**2 + sum(cos(y))**2) / count(*), 9) AS r FROM ang GROUP BY ALL) WHERE n >= 2) "
+_SMALL = "CASE WHEN n > 15 THEN k WHEN k < 2 THEN greatest(0, k - 2 / (k * n)) ELSE k * (1 - n)**3 / (1 + n * n) / n END"
+
+
+@query(_FEW + f"SELECT event_type, part, n::BIGINT AS n, {q6(f'({_SMALL}) / (1 + abs({_SMALL}))')} AS kappa FROM fw")
+def circ_kappa_few(s, d):
+    """Groups of few angles, with the small-sample correction. r is rounded, so that equal angles have no kappa on either side; k / (1 + |k|) keeps the large ones comparable."""
+    part = (F.floor(F.col("x") * 400) % 200).alias("part")
+    g = _angles(s, d).groupBy("event_type", part).agg(F.round(C.circ_r(F.col("y")), 9).alias("r"), F.count("*").alias("n")).filter("n >= 2")
+    k = C.circ_kappa(F.col("r"), F.col("n"))
+    return g.select("event_type", "part", "n", r6(k / (1 + F.abs(k))).alias("kappa"))
+
+
 @query("SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL")
 def class_counts(s, d):
     return C.class_counts(table(s, d, "lineitem"), "l_returnflag", "l_linestatus")
@@ -456,6 +506,28 @@ def cart_best_split(s, d):
     return R.best_split(rows, 3).select("attr", r6("cut").alias("cut"))
 
 
+def _best_cut_sql(sides: str) -> str:
+    """Every cut of x0, x2 and x3, scored by `sides`: the parts' scores of rows ln grouped by side l."""
+    return ("cand AS (SELECT a.attr, a.v, lead(a.v) OVER (PARTITION BY a.attr ORDER BY a.v) AS nxt FROM (SELECT DISTINCT 0 AS attr, x0 AS v FROM ln UNION SELECT DISTINCT 1, x2 FROM ln UNION SELECT DISTINCT 2, x3 FROM ln) a), "
+        f"sc AS (SELECT k.attr, (k.v + k.nxt) / 2 AS cut, ({sides}) AS score FROM cand k WHERE nxt IS NOT NULL) "
+        f"SELECT attr::INTEGER AS attr, {q6('cut')} AS cut, {q6('score')} AS score FROM sc ORDER BY round(sc.score, 9) DESC, sc.attr, sc.cut LIMIT 1")
+
+
+_SIDE = "(CASE k.attr WHEN 0 THEN x0 WHEN 1 THEN x2 ELSE x3 END) <= k.v"
+
+
+@query(_best_cut_sql(f"SELECT -sum(n - r) / sum(n) FROM (SELECT count(*) AS n, sqrt(sum(sin(x1 / 1000))**2 + sum(cos(x1 / 1000))**2) AS r FROM ln GROUP BY {_SIDE})"))
+def cart_best_split_circ(s, d):
+    rows = _lines(s, d).select((F.col("x1") / 1000).alias("y"), F.array("x0", "x2", "x3").alias("x"))
+    return R.best_split(rows, 3, "P").select("attr", r6("cut").alias("cut"), r6("score").alias("score"))
+
+
+@query(_best_cut_sql(f"SELECT -sum(n * (1 - (a * a + b * b) / (n * n))) / sum(n) FROM (SELECT count(*)::DOUBLE AS n, sum(c)::DOUBLE AS a, sum(1 - c)::DOUBLE AS b FROM ln GROUP BY {_SIDE})"))
+def cart_best_split_class(s, d):
+    rows = _lines(s, d).select(F.col("c").alias("y"), F.array("x0", "x2", "x3").alias("x"))
+    return R.best_split(rows, 3, "C", "gini").select("attr", r6("cut").alias("cut"), r6("score").alias("score"))
+
+
 _VOTES = "v AS (SELECT o_orderkey AS row_id, t, ((o_orderkey * 31 + t * 17) % 97)::DOUBLE / 10 AS value, ((o_orderkey + t) % 7 + 1) AS n0, ((o_orderkey * t) % 5 + 1) AS n1 FROM orders, range(5) r(t)) "
 
 
@@ -475,7 +547,7 @@ def ert_combine_periodic(s, d):
     return R.combine(_votes(s, d), "P").select("row_id", r6("value").alias("value"), r6("uncertainty").alias("uncertainty"))
 
 
-@query(_VOTES + f"SELECT row_id, CASE WHEN round(p0, 12) >= round(1 - p0, 12) THEN 0.0 ELSE 1.0 END::DOUBLE AS value, {q6('1 - greatest(p0, 1 - p0)')} AS uncertainty FROM (SELECT row_id, avg(n0::DOUBLE / (n0 + n1)) AS p0 FROM v GROUP BY row_id) WHERE abs(p0 - 0.5) > 1e-9")
+@query(_VOTES + f"SELECT row_id, CASE WHEN round(p0, 12) >= round(1 - p0, 12) THEN 0.0 ELSE 1.0 END::DOUBLE AS value, {q6('1 - greatest(p0, 1 - p0)')} AS uncertainty FROM (SELECT row_id, avg(n0::DOUBLE / (n0 + n1)) AS p0 FROM v GROUP BY row_id)")
 def ert_combine_class(s, d):
     c = R.combine(_votes(s, d), "C")
     return c.select("row_id", (F.col("value") + 0.0).alias("value"), r6("uncertainty").alias("uncertainty"))
@@ -519,9 +591,9 @@ _FIT = f"z AS (SELECT *, 1 + l_orderkey % 3 AS w, 1 / (1 + exp(-({_SCORE}))) AS
 _GRADS = ", ".join(f"sum(w * w * (f - c) * f * (1 - f) * {x}) AS g{k}" for k, x in enumerate(["1", "x0", "x1", "x2", "x3"]))
 
 
-@query(_FIT + f", t AS (SELECT 0.5 * sum((w * (f - c))**2) AS cost, {_GRADS} FROM z) SELECT {q6('cost', 3)} AS cost, " + ", ".join(f"{q6(f'g{k}', 3)} AS g{k}" for k in range(4) if k != 2) + " FROM t")
+@query(_FIT + f", t AS (SELECT 0.5 * sum((w * (f - c))**2) AS cost, {_GRADS} FROM z) SELECT {q6('cost', 3)} AS cost, {q6('g0', 3)} AS g0, {q6('g1', 3)} AS g1, {q6('g2 / 1000000', 6)} AS g2_millions, {q6('g3', 3)} AS g3, {q6('g4', 3)} AS g4 FROM t")
 def adam_cost_grad(s, d):
-    return W.cost_gradient(_rows(s, d), list(WEIGHTS)).select(*[r6(c, 3).alias(c) for c in ("cost", "g0", "g1", "g3")])
+    return W.cost_gradient(_rows(s, d), list(WEIGHTS)).select(*[r6(c, 3).alias(c) for c in ("cost", "g0", "g1", "g3", "g4")], r6(F.col("g2") / 1_000_000).alias("g2_millions"))
 
 
 @query(_FIT + f", t AS (SELECT {_GRADS} FROM z), g AS (SELECT unnest([g0, g1, g2, g3, g4]) AS g, unnest([0, 1, 2, 3, 4]) AS k FROM t) SELECT k::INTEGER AS k, {q6('CASE k ' + ' '.join(f'WHEN {k} THEN {w!r}::DOUBLE' for k, w in enumerate(WEIGHTS)) + ' END - 0.001 * g / (abs(g) + 1e-8)', 9)} AS w FROM g")
@@ -543,6 +615,20 @@ def best_threshold(s, d):
     return W.best_threshold(_lines(s, d).select(F.col("x0").alias("score"), F.col("c").alias("y"))).select("cut", F.round("gain", 9).alias("gain"))
 
 
+_COUNTED = "z AS (SELECT x0 AS score, sum(sum(c)) OVER (ORDER BY x0)::DOUBLE AS p, sum(sum(1 - c)) OVER (ORDER BY x0)::DOUBLE AS q, sum(sum(c)) OVER ()::DOUBLE AS np, sum(sum(1 - c)) OVER ()::DOUBLE AS nq FROM ln GROUP BY x0)"
+_PLOGP = lambda a, b: f"CASE WHEN {a} > 0 THEN ({a}) * ln(({a}) / (({a}) + ({b}))) ELSE 0 END"
+
+
+@query(_COUNTED + f", g AS (SELECT score, ({_PLOGP('p', 'q')} + {_PLOGP('q', 'p')} + {_PLOGP('np - p', 'nq - q')} + {_PLOGP('nq - q', 'np - p')}) / (np + nq) AS gain FROM z) SELECT score AS cut, round(gain, 9) AS gain FROM g ORDER BY round(g.gain, 12) DESC, score LIMIT 1")
+def best_threshold_information(s, d):
+    return W.best_threshold(_lines(s, d).select(F.col("x0").alias("score"), F.col("c").alias("y")), "information").select("cut", F.round("gain", 9).alias("gain"))
+
+
+@query("m AS (SELECT (avg(x0) FILTER (c = 1) + avg(x0) FILTER (c = 0)) / 2 AS cut FROM ln) SELECT round(any_value(cut), 9) AS cut, round(avg((x0 > cut)::INT) FILTER (c = 1) - avg((x0 > cut)::INT) FILTER (c = 0), 9) AS gain FROM ln, m")
+def best_threshold_mean(s, d):
+    return W.best_threshold(_lines(s, d).select(F.col("x0").alias("score"), F.col("c").alias("y")), "mean").select(F.round("cut", 9).alias("cut"), F.round("gain", 9).alias("gain"))
+
+
 @query("SELECT obj_id, ra, d1 AS dec, b FROM (SELECT c_custkey::BIGINT AS obj_id, (c_custkey * 7 % 360)::DOUBLE AS ra, (c_custkey * 13 % 181 - 90)::DOUBLE AS d1, (c_custkey * 29 % 181 - 90)::DOUBLE AS b, (c_custkey % 3)::DOUBLE AS pm FROM customer) WHERE ra BETWEEN 49 AND 201 AND d1 BETWEEN -41 AND 31 AND abs(b) >= 19 AND pm < 0.5")
 def region_filter(s, d):
     k = F.col("c_custkey")
@@ -550,11 +636,20 @@ def region_filter(s, d):
     return cat.region(t, (50, 200), (-40, 30), 20, 1, still=0.5).select("obj_id", "ra", "dec", "b")
 
 
-@query()
+_ADAM = """dd AS (SELECT (x0 - 25) / 25 AS x, (x0 > 25)::INT AS y, count(*) * (any_value(n) / CASE WHEN x0 > 25 THEN any_value(p) ELSE any_value(n) - any_value(p) END)**2 AS w2 FROM ln, (SELECT count(*)::DOUBLE AS n, sum((x0 > 25)::INT)::DOUBLE AS p FROM ln) GROUP BY x0),
+    it AS (SELECT 0 AS step, 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS m0, 0::DOUBLE AS m1, 0::DOUBLE AS v0, 0::DOUBLE AS v1, NULL::DOUBLE AS cost, FALSE AS done
+    UNION ALL SELECT CASE WHEN stop THEN step ELSE step + 1 END, CASE WHEN stop THEN w0 ELSE w0 - 0.05 * (n0 / (1 - 0.9::DOUBLE**(step + 1))) / (sqrt(u0 / (1 - 0.999::DOUBLE**(step + 1))) + 1e-8) END,
+        CASE WHEN stop THEN w1 ELSE w1 - 0.05 * (n1 / (1 - 0.9::DOUBLE**(step + 1))) / (sqrt(u1 / (1 - 0.999::DOUBLE**(step + 1))) + 1e-8) END, n0, n1, u0, u1, now, stop
+    FROM (SELECT *, coalesce(abs(now - cost) <= 1e-6, FALSE) OR step >= 300 AS stop, 0.9 * m0 + 0.1 * g0 AS n0, 0.9 * m1 + 0.1 * g1 AS n1, 0.999 * v0 + 0.001 * g0 * g0 AS u0, 0.999 * v1 + 0.001 * g1 * g1 AS u1
+        FROM (SELECT step, w0, w1, m0, m1, v0, v1, cost, 0.5 * sum(w2 * (f - y)**2) AS now, sum(w2 * (f - y) * f * (1 - f)) AS g0, sum(w2 * (f - y) * f * (1 - f) * x) AS g1
+            FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x))) AS f FROM it, dd WHERE NOT done) GROUP BY ALL)))"""
+
+
+@query(_ADAM + f" SELECT {q6('w0', 4)} AS w0, {q6('w1', 4)} AS w1, {q6('cost', 2)} AS cost, step::INTEGER AS steps FROM it WHERE done")
 def split_fit(s, d):
-    rows = _lines(s, d).select("l_orderkey", (F.col("x0") > 25).cast("double").alias("y"), F.array((F.col("x0") - 25) / 25).alias("x"))
-    w, cost, steps = W.split(rows, 1, balance=True, max_iterations=300, alpha=0.05)
-    return s.createDataFrame([(float(w[0]), float(w[1]), cost, steps)], "w0 double, w1 double, cost double, steps int")
+    rows = _lines(s, d).select(F.col("l_orderkey").alias("row_id"), (F.col("x0") > 25).cast("double").alias("y"), F.array((F.col("x0") - 25) / 25).alias("x"))
+    w, cost, steps = W.split(rows, 1, balance=True, local=True, max_iterations=300, alpha=0.05)
+    return s.createDataFrame([(round(float(w[0]), 4) + 0.0, round(float(w[1]), 4) + 0.0, round(cost, 2) + 0.0, steps)], "w0 double, w1 double, cost double, steps int")
 
 
 # Lens sets
@@ -564,22 +659,51 @@ def _images(s, d):
     return table(s, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("config_id"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_tax").cast("double") * 100).alias("y"), (F.col("l_extendedprice").cast("double") / 10000).alias("mag"))
 
 
-_CONF = "o AS (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY mag, x, y) AS k FROM img), c4 AS (SELECT config_id, " + ", ".join(f"max({c}) FILTER (k = {k}) AS {n}{k}" for k in (1, 2, 3, 4) for n, c in (("x", "x"), ("y", "y"), ("m", "mag"))) + " FROM o GROUP BY config_id HAVING count(*) >= 4) "
+def _conf(source: str, key: str, *more: str) -> str:
+    """The four brightest images of each configuration side by side."""
+    return f"o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY mag, x, y) AS k FROM {source}), c4 AS (SELECT {key}, " + ", ".join(f"max({c}) FILTER (k = {k}) AS {n}{k}" for k in (1, 2, 3, 4) for n, c in (("x", "x"), ("y", "y"), ("m", "mag"))) + f" FROM o GROUP BY {key} HAVING count(*) >= 4) "
+
+
+_CONF = _conf("img", "config_id")
+_WIDE = [f"{n}{k}" for k in (1, 2, 3, 4) for n in "xym"]
 
 
-@query(_CONF + "SELECT config_id, 0::INTEGER AS class, 4::INTEGER AS nimg, " + ", ".join(f"{q6(f'{n}{k}')} AS {n}{k}" for k in (1, 2, 3, 4) for n in "xym") + " FROM c4")
+@query(_CONF + "SELECT config_id, 0::INTEGER AS class, 4::INTEGER AS nimg, " + ", ".join(f"{q6(c)} AS {c}" for c in _WIDE) + " FROM c4")
 def lens_wide(s, d):
-    t = D.dataset(_images(s, d))
-    return t.select("config_id", "class", "nimg", *[r6(f"{n}{k}").alias(f"{n}{k}") for k in (1, 2, 3, 4) for n in "xym"])
+    t = D.dataset(_images(s, d), output="class,nimg," + ",".join(_WIDE))
+    return t.select("config_id", "class", "nimg", *[r6(c).alias(c) for c in _WIDE])
+
+
+@query(_conf("(SELECT config_id, mag, x * cos(arg_min(y, (mag, x, y)) OVER (PARTITION BY config_id)) AS x, y FROM img)", "config_id") + "SELECT config_id, " + ", ".join(f"{q6(c)} AS {c}" for c in _WIDE) + " FROM c4")
+def lens_spherical(s, d):
+    t = D.dataset(_images(s, d), output=",".join(_WIDE), sph=True)
+    return t.select("config_id", *[r6(c).alias(c) for c in _WIDE])
 
 
 _R2 = "((x4 - x1)**2 + (y4 - y1)**2)"
+_TURNED = lambda x, y: (f"(({x} - x1) * (x4 - x1) + ({y} - y1) * (y4 - y1)) / nullif({_R2}, 0)", f"(({y} - y1) * (x4 - x1) - ({x} - x1) * (y4 - y1)) / nullif({_R2}, 0)")
+
 
+def _normalised(digits: int) -> str:
+    """All columns of a learning set of observed images."""
+    angle = "-atan2(y4 - y1, x4 - x1) * 180 / pi()"
+    size = f"sqrt(nullif({_R2}, 0))"
+    cols = {"b": f"1 / {size}", "e": "0::DOUBLE", "te": angle, "g": "0::DOUBLE", "tg": angle, "s": f"0 / {size}"}
+    for p in ("s", "d"):
+        cols[f"x{p}"], cols[f"y{p}"] = _TURNED("0", "0")
+    for k in (1, 2, 3, 4):
+        cols[f"x{k}"], cols[f"y{k}"] = _TURNED(f"x{k}", f"y{k}")
+        cols[f"m{k}"] = f"m{k} - m1"
+    return "0::INTEGER AS class, " + ", ".join(f"{q6(v, digits)} AS {c}" for c, v in cols.items())
 
-@query(_CONF + "SELECT config_id, " + ", ".join(f"{q6(f'((x{k} - x1) * (x4 - x1) + (y{k} - y1) * (y4 - y1)) / nullif({_R2}, 0)', 6)} AS x{k}, {q6(f'((y{k} - y1) * (x4 - x1) - (x{k} - x1) * (y4 - y1)) / nullif({_R2}, 0)', 6)} AS y{k}, {q6(f'm{k} - m1', 6)} AS m{k}" for k in (2, 3)) + " FROM c4")
+
+def _rounded_set(t: DataFrame, digits: int) -> DataFrame:
+    return t.select("config_id", *[c if c == "class" else r6(c, digits).alias(c) for c in D.OUTPUT.split(",")])
+
+
+@query(_CONF + f"SELECT config_id, {_normalised(6)} FROM c4")
 def lens_normalise(s, d):
-    t = D.dataset(_images(s, d), norm=True)
-    return t.select("config_id", *[r6(f"{n}{k}", 6).alias(f"{n}{k}") for k in (2, 3) for n in "xym"])
+    return _rounded_set(D.dataset(_images(s, d), norm=True), 6)
 
 
 @query(f"SELECT a.config_id, {q6('sqrt(max((a.x - b.x)**2 + (a.y - b.y)**2))')} AS sep FROM img a JOIN img b ON a.config_id = b.config_id GROUP BY a.config_id")
@@ -587,9 +711,24 @@ def lens_max_sep(s, d):
     return D.configurations(_images(s, d)).select("config_id", r6(D.max_separation(F.col("images"))).alias("sep"))
 
 
-@query()
+def _uniform_sql(seed: int, *keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+
+
+def _normal_sql(seed: int, *keys: str) -> str:
+    return f"sqrt(-2 * ln({_uniform_sql(seed, '0', *keys)})) * cos(2 * pi() * {_uniform_sql(seed, '1', *keys)})"
+
+
+_NOISY = (
+    "sp AS (SELECT a.config_id, sqrt(max((a.x - b.x)**2 + (a.y - b.y)**2)) AS sep FROM img a JOIN img b ON a.config_id = b.config_id GROUP BY a.config_id), "
+    "pl AS (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY mag, x, y) - 1 AS i FROM img), "
+    "nz AS (SELECT config_id, realisation, " + ", ".join(f"{c} + {_normal_sql(3, 'config_id', 'realisation', 'i', str(k))} * {size} AS {c}" for k, (c, size) in enumerate((("mag", "0.02"), ("x", "sep * 0.01"), ("y", "sep * 0.01")))) + " FROM pl JOIN sp USING (config_id), range(2) r(realisation)), "
+)
+
+
+@query(_NOISY + _conf("nz", "config_id, realisation") + f"SELECT config_id, {_normalised(4)} FROM c4")
 def lens_noise(s, d):
-    return D.dataset(_images(s, d), n_noise=2, xy_noise=0.01, mag_noise=0.02, relative=True, seed=3, norm=True)
+    return _rounded_set(D.dataset(_images(s, d), n_noise=2, xy_noise=0.01, mag_noise=0.02, relative=True, seed=3, norm=True), 4)
 
 
 # Lens models and generators
@@ -635,9 +774,34 @@ def simulate_images(s, d):
     return gen.simulate(grid, "[0:2:0.2]", "[0:2:0.2]", "[-2:40:2]", "[-2:40:2]", eps=0.02)
 
 
-@query()
+_DRAWN = {k: _uniform_sql(1, f"'{k}'", "id") for k in "ram"}
+
+
+@query(f"SELECT id // 4 AS config_id, 4::INTEGER AS nimg, {q6('r * cos(a)', 9)} AS x, {q6('r * sin(a)', 9)} AS y, {q6('mag', 9)} AS mag FROM (SELECT id, sqrt({_DRAWN['r']}) AS r, 2 * pi() * {_DRAWN['a']} AS a, 3 * {_DRAWN['m']} AS mag FROM range(4000) t(id))")
 def contaminants(s, d):
-    return gen.contaminants(s, 1000, 4, 3.0, 1)
+    return gen.contaminants(s, 1000, 4, 3.0, 1).select("config_id", "nimg", *[r6(c, 9).alias(c) for c in ("x", "y", "mag")])
+
+
+_POTENTIAL = "FROM (SELECT *, (au * u + av * v) - b * q * s * ln(sqrt((psi + s)**2 + (1 - q * q) * u * u) / ((1 + q) * s)) + g * (cos(2 * tg) * (x * x - y * y) / 2 + sin(2 * tg) * x * y) AS potential FROM f3 WHERE e > 0)"
+
+
+@query(_LENS + f"SELECT id, {q6('b * q / (2 * psi)')} AS kappa, {q6('potential')} AS potential {_POTENTIAL}")
+def nsieg_potential(s, d):
+    t = _lens(s, d).filter("e > 0").select("id", "b", "e", "te", "g", "tg", "s", "x", "y")
+    return L.with_potential(t).select("id", r6("kappa").alias("kappa"), r6("potential").alias("potential"))
+
+
+_EDGE = lambda i, j: f"(x{j} - x{i}) * sg * (cy + CASE WHEN (x{j} - x{i}) * sg > 0 THEN 0.5 ELSE 0 END - y{i}) - (y{j} - y{i}) * sg * (cx + CASE WHEN (y{j} - y{i}) * sg < 0 THEN 0.5 ELSE 0 END - x{i}) >= 0"
+_CORNER = {f"{a}{k}": f"((c_custkey * {m}) % {n}) / {n}.0::DOUBLE * 10 - 0.003" for (a, k), m, n in zip(((a, k) for k in range(3) for a in "xy"), (17, 29, 37, 53, 71, 89), (101, 103, 107, 109, 113, 127))}
+
+
+@query("tr AS (SELECT c_custkey AS id, " + ", ".join(f"{v} AS {c}" for c, v in _CORNER.items()) + " FROM customer), ts AS (SELECT *, sign((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) AS sg FROM tr), "
+       "tc AS (SELECT ts.*, ix, iy, ix * 0.5::DOUBLE AS cx, iy * 0.5::DOUBLE AS cy FROM ts, range(20) a(ix), range(20) b(iy)) SELECT id, ix::INTEGER AS ix, iy::INTEGER AS iy FROM tc WHERE greatest(x0, x1, x2) >= cx AND least(x0, x1, x2) <= cx + 0.5 AND greatest(y0, y1, y2) >= cy AND least(y0, y1, y2) <= cy + 0.5 AND " + " AND ".join(_EDGE(i, j) for i, j in ((0, 1), (1, 2), (2, 0))))
+def triangle_cells(s, d):
+    c = F.col("c_custkey")
+    corner = {f"{a}{k}": (c * m % n) / F.lit(float(n)) * 10 - F.lit(0.003) for (a, k), m, n in zip(((a, k) for k in range(3) for a in "xy"), (17, 29, 37, 53, 71, 89), (101, 103, 107, 109, 113, 127))}
+    t = table(s, d, "customer").select(c.alias("id"), *[v.alias(k) for k, v in corner.items()])
+    return G.triangle_cells(t, (0.0, 10.0, 20), (0.0, 10.0, 20))
 
 
 @query("SELECT l_orderkey AS id, concat_ws(',', a, b, c) AS subset FROM (SELECT l_orderkey, list(l ORDER BY l) AS v FROM (SELECT DISTINCT l_orderkey, l_linenumber AS l FROM lineitem) GROUP BY l_orderkey), LATERAL (SELECT i, j, k, v[i] AS a, v[j] AS b, v[k] AS c FROM range(1, 8) x(i), range(1, 8) y(j), range(1, 8) z(k) WHERE i < j AND j < k AND k <= len(v))")
@@ -646,8 +810,46 @@ def k_subsets(s, d):
     return K.subsets(v, 3, "v").select("id", F.expr("array_join(transform(subset, x -> CAST(x AS STRING)), ',')").alias("subset"))
 
 
-@query()
+def _parsed(text: str, big: float, mid: float, low: float) -> str:
+    return f"(split_part({text}, ':', 1)::DOUBLE * {big!r}::DOUBLE + split_part({text}, ':', 2)::DOUBLE * {mid!r}::DOUBLE + split_part({text}, ':', 3)::DOUBLE * {low!r}::DOUBLE)"
+
+
+def _written(ra: str, dec: str, digits: int) -> tuple[str, str]:
+    longer = lambda t: t.replace("%06.3f", f"%0{digits + 3}.{digits}f")
+    return longer(_RA).replace("ra", ra), longer("concat_ws(':', " + ", ".join(_fmt("abs(dec)", A.DEGREE, A.ARCMIN, A.ARCSEC)) + ")").replace("dec", dec)
+
+
+_LINES = f"tx AS (SELECT obj_id, mag, dec < 0 AS south, {_written('ra', 'dec', 6)[0]} AS a, {_written('ra', 'dec', 6)[1]} AS b FROM cust), back AS (SELECT mag, {_parsed('a', A.HOUR, A.MINUTE, A.SECOND)} AS ra, CASE WHEN south THEN -1 ELSE 1 END * {_parsed('b', A.DEGREE, A.ARCMIN, A.ARCSEC)} AS dec FROM tx) "
+
+
+def _catalogue_lines(s, d):
+    lines = cust(s, d).select("obj_id", F.concat(A.format_ra(F.col("ra"), 6), F.lit(" "), A.format_dec(F.col("dec"), 6), F.lit(" "), F.col("mags")[0].cast("string"), F.lit(" tail")).alias("value"))
+    return cat.parse_lines(lines, 1, id_column="obj_id")
+
+
+@query(_LINES + "SELECT printf('%.6f', ra) || ' ' || printf('%.6f', dec) || ' ' || mag::VARCHAR || ' tail' AS value FROM back")
 def text_catalogue(s, d):
     """Lines written from a catalogue and parsed again: positions and payload survive."""
-    lines = cust(s, d).select("obj_id", F.concat(A.format_ra(F.col("ra"), 6), F.lit(" "), A.format_dec(F.col("dec"), 6), F.lit(" "), F.col("mags")[0].cast("string"), F.lit(" tail")).alias("value"))
-    return cat.format_positions(cat.parse_lines(lines, 1, id_column="obj_id"), "sex", 3)
+    return cat.format_positions(_catalogue_lines(s, d), "sph", 6)
+
+
+@query(_LINES + "SELECT printf('%.3f', ra * 180 / pi()) || ' ' || printf('%.3f', dec * 180 / pi()) || ' ' || mag::VARCHAR || ' tail' AS degrees, printf('%.7f', cos(ra) * cos(dec)) || ' ' || printf('%.7f', sin(ra) * cos(dec)) || ' ' || printf('%.7f', sin(dec)) || ' ' || mag::VARCHAR || ' tail' AS cart FROM back")
+def position_forms(s, d):
+    c = _catalogue_lines(s, d)
+    both = c.withColumn("tail", F.concat(F.col("tail"), F.lit("|"), F.col("obj_id").cast("string")))
+    form = lambda f, n: cat.format_positions(both, f, n).select(F.split_part("value", F.lit("|"), F.lit(2)).alias("id"), F.split_part("value", F.lit("|"), F.lit(1)).alias(f))
+    return form("sphd", 3).join(form("cart", 7), "id").select(F.col("sphd").alias("degrees"), "cart")
+
+
+@query(f"SELECT printf('%g', {DIST}) || ' s' || id0 || ' c' || id1 AS value FROM pr WHERE {NEAR}")
+def match_lines(s, d):
+    lines = lambda t, p: t.withColumn("line", F.concat(F.lit(p), F.col("obj_id").cast("string")))
+    met = J.cone_pairs(lines(supp(s, d), "s"), lines(cust(s, d), "c"), RADIUS, keep_a=("line",), keep_b=("line",))
+    return cat.format_matches(met, "a_line", "b_line", with_distance=True)
+
+
+@query()
+def cart_fit_predict(s, d):
+    """One CART tree of the customers' balances, and its predictions."""
+    rows = table(s, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").cast("double").alias("y"), F.array((F.col("c_acctbal").cast("double") + F.col("c_custkey") % 7), (F.col("c_custkey") % 11).cast("double")).alias("x"))
+    return R.predict(rows, R.fit(rows, 2, "R", algorithm="cart"), "R")

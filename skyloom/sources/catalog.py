@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.angles import format_dec, format_ra, parse_dec, parse_ra
+from ..functions.angles import format_dec, format_ra, general, parse_dec, parse_ra
 from ..functions.sphere import unit_vector
 
 
@@ -33,7 +33,10 @@ def parse_lines(lines: DataFrame, n_mags: int = 0, flags: bool = False, id_colum
     field = lambda k: F.get("_f", F.lit(k))
     mags = [F.when(F.col("_flag") == "*", None).otherwise(_or_fail(field(2 + k).try_cast("double"), "a magnitude", F.col("line"))) for k in range(n_mags)]
     key = F.col(id_column) if id_column else F.xxhash64("value") if lines.isStreaming else F.monotonically_increasing_id()
-    d = d.withColumns({"_id": key, "_ra": _or_fail(parse_ra(field(0)), "a right ascension", F.col("line")), "_dec": _or_fail(parse_dec(field(1)), "a declination", F.col("line")), "use_cluster": F.col("_flag") != "*", "use_density": F.col("_flag") != "!"})
+    read = F.struct(_or_fail(parse_ra(field(0)), "a right ascension", F.col("line")).alias("ra"), _or_fail(parse_dec(field(1)), "a declination", F.col("line")).alias("dec"))
+    # Out of an explode, positions are read once for each line, not once for each column made from them.
+    d = d.withColumn("_id", key).withColumn("_p", F.explode(F.array(read)))
+    d = d.withColumns({"_ra": F.col("_p.ra"), "_dec": F.col("_p.dec"), "use_cluster": F.col("_flag") != "*", "use_density": F.col("_flag") != "!"})
     tail = F.regexp_replace("line", r"^\s*\S+\s+\S+", "")
     return catalog(d.withColumn("tail", tail), F.col("_id"), F.col("_ra"), F.col("_dec"), mags, "line", "tail", "use_cluster", "use_density")
 
@@ -47,10 +50,10 @@ def split_fields(lines: DataFrame, separator: str = " ") -> DataFrame:
     return lines.withColumn("fields", F.split("value", f"\\Q{separator}\\E", -1))
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:
-    """fields of equal number in all rows; missing ones are empty."""
+def read_delimited(spark: SparkSession, path: str, separator: str = " ", width: int | None = None) -> DataFrame:
+    """fields of equal number in all rows: as many as the longest row has, which takes a scan of its own, or the given width; missing ones are empty."""
     d = split_fields(spark.read.text(path), separator)
-    width = d.agg(F.max(F.size("fields"))).first()[0] or 0
+    width = d.agg(F.max(F.size("fields"))).first()[0] or 0 if width is None else width
     return d.select(F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda k: F.coalesce(F.get("fields", k), F.lit(""))).alias("fields"))
 
 
@@ -62,17 +65,77 @@ def learning_set(df: DataFrame, row_id: Column, y: Column, attributes: list[Colu
 
 
 def with_weights(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """rows joined with weights (row_id, w), which must match one to one."""
-    n, m = rows.count(), weights.count()
-    out = rows.join(weights, "row_id")
-    if n != m or out.count() != n:
-        raise ValueError(f"{m} weights for {n} rows")
+    """rows joined with weights (row_id, w), which must match one to one: a row or weight alone, or a second weight, ends the query."""
+    one = weights.groupBy("row_id").agg(F.first("w").alias("w"), F.count("*").alias("_n"))
+    both = rows.withColumn("_there", F.lit(True)).join(one, "row_id", "full_outer")
+    matched = F.col("_there").isNotNull() & (F.col("_n") == 1)
+    weight = F.when(matched, F.col("w")).otherwise(F.raise_error(F.concat(F.lit("no single weight for a row, or no row for a weight: "), F.col("row_id").cast("string"))))
+    return both.select(*rows.columns, weight.alias("w"))
+
+
+def parse_dmag(text: str) -> list[float]:
+    """The largest magnitude differences of `a,b,..`; white space is allowed around a value, an empty one isn't."""
+    out = []
+    for k, part in enumerate(text.split(","), 1):
+        try:
+            out.append(float(part))
+        except ValueError:
+            raise ValueError(f"magnitude difference {k} isn't a number: {part!r}") from None
     return out
 
 
+CONFIGURATION = ("b", "e", "te", "g", "tg", "s", "xs", "ys", "nimg", "x", "y", "mag", "sdf")
+OBSERVATION = ("nimg", "x", "y", "mag")
+
+
+def read_configurations(spark: SparkSession, path: str, observed: bool = False) -> DataFrame:
+    """config_id and the fields of each image, from text rows of CONFIGURATION or, if observed, OBSERVATION; a first row that names
+    the fields is left out. Consecutive rows with equal parameters and nimg form configurations of nimg rows each, in the order
+    of their file; a row that can't be read, or a run of rows that isn't a multiple of nimg, ends the query.
+
+    A file's rows are one sequence, so their numbers come from a window over the file; give many files for large sets."""
+    names = OBSERVATION if observed else CONFIGURATION
+    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))
+    d = d.withColumn("_f", F.split(F.trim("value"), r"\s+")).filter(F.trim("value") != "").filter(F.col("_f")[0] != names[0])
+    number = lambda k, c: F.get("_f", F.lit(k)).try_cast("int" if c == "nimg" else "double")
+    d = d.select("_file", "_at", "value", F.size("_f").alias("_n"), *[number(k, c).alias(c) for k, c in enumerate(names)])
+    good = (F.col("_n") == len(names)) & (F.col("nimg") > 0)
+    for c in names:
+        good = good & F.col(c).isNotNull()
+    d = d.withColumn("nimg", F.when(good, F.col("nimg")).otherwise(F.raise_error(F.concat(F.lit("can't read: "), F.col("value")))))
+    same = F.struct(*[c for c in names if c not in ("x", "y", "mag", "sdf")])
+    order = Window.partitionBy("_file").orderBy("_at")
+    d = d.withColumn("_new", F.when(same.eqNullSafe(F.lag(same).over(order)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    run = Window.partitionBy("_file", "_run")
+    d = d.withColumns({"_k": F.row_number().over(run.orderBy("_at")) - 1, "_rows": F.count("*").over(run)})
+    complete = F.when(F.col("_rows") % F.col("nimg") == 0, F.xxhash64("_file", "_run", F.floor(F.col("_k") / F.col("nimg")))).otherwise(F.raise_error(F.concat(F.lit("images are missing: "), F.col("value"))))
+    return d.select(complete.alias("config_id"), *names)
+
+
+def format_clusters(members: DataFrame, payload: str, with_density: bool = False) -> DataFrame:
+    """value: `candidate_id nimg [density] payload`, and members, by which the rows of a cluster belong together."""
+    return members.select(F.concat_ws(" ", "candidate_id", F.col("nimg").cast("string"), *([general(F.col("density"))] if with_density else []), payload).alias("value"), "members")
+
+
+def format_trixels(density: DataFrame) -> DataFrame:
+    """value: `name ra dec area density` of trixel_density, with the id to sort by."""
+    return density.select(F.concat_ws(" ", "htm_name", format_ra(F.col("ra")), format_dec(F.col("dec")), general(F.col("area")), general(F.col("density"))).alias("value"), "htm_id")
+
+
+def format_ids(rows: DataFrame, line: str = "line") -> DataFrame:
+    """value: `htm_id line`."""
+    return rows.select(F.concat_ws(" ", F.col("htm_id").cast("string"), line).alias("value"))
+
+
+def format_images(images: DataFrame, digits: int = 6) -> DataFrame:
+    """value: the fields of CONFIGURATION of simulated images, which read_configurations reads back."""
+    fields = [general(F.col(c)) for c in CONFIGURATION[:8]] + [F.col("nimg").cast("string")] + [F.format_string(f"%+.{digits}e", c) for c in CONFIGURATION[9:]]
+    return images.select(F.concat_ws(" ", *fields).alias("value"))
+
+
 def format_matches(matches: DataFrame, line0: str = "line0", line1: str = "line1", with_distance: bool = False) -> DataFrame:
     """value: `[dist ]line0 line1`."""
-    return matches.select(F.concat_ws(" ", *([F.format_string("%g", "dist")] if with_distance else []), line0, line1).alias("value"))
+    return matches.select(F.concat_ws(" ", *([general(F.col("dist"))] if with_distance else []), line0, line1).alias("value"))
 
 
 def format_positions(df: DataFrame, form: str = "sph", digits: int = 6) -> DataFrame:

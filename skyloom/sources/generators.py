@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lens import alpha, jacobian
+from ..functions.lens import NSIEG, LensModel
 from ..functions.optimise import nelder_mead
+from ..storage import ship
 
 PARAMETERS = ("b", "e", "te", "g", "tg", "s")
 
@@ -52,8 +53,9 @@ def parameter_grid(spark: SparkSession, **ranges: str | float) -> DataFrame:
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """In (0, 1), hashed from the keys, so the same under any partitioning."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    """In (0, 1), from the MD5 of the keys as text, so the same under any partitioning and on any engine."""
+    bits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary")), 1, 13)
+    return (F.conv(bits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def normal(seed: int, *keys: Column | str) -> Column:
@@ -68,7 +70,7 @@ def contaminants(spark: SparkSession, n: int = 1_000_000, n_images: int = 4, max
     return d.select("config_id", "nimg", (r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"), (F.lit(max_mag) * uniform(seed, F.lit("m"), "id")).alias("mag"))
 
 
-def source_map(p: tuple, xr: tuple, yr: tuple, eps: float) -> np.ndarray:
+def source_map(p: tuple, xr: tuple, yr: tuple, eps: float, model: LensModel = NSIEG) -> np.ndarray:
     """Triangles of the image plane with their source-plane corners, (k, 2, 3, 2): two for each grid cell, halved along their first edge where the magnification changes sign until no side exceeds eps."""
     (x0, x1, nx), (y0, y1, ny) = xr, yr
     x, y = np.meshgrid(np.linspace(x0, x1, nx + 1), np.linspace(y0, y1, ny + 1), indexing="ij")
@@ -78,7 +80,7 @@ def source_map(p: tuple, xr: tuple, yr: tuple, eps: float) -> np.ndarray:
     high = np.stack([v[:-1, 1:], v[1:, :-1], v[1:, 1:]], axis=-2).reshape(-1, 3, 2)
     todo, done = np.concatenate([low, high]), []
     while len(todo):
-        j = jacobian(p, todo[..., 0], todo[..., 1])
+        j = model.jacobian(p, todo[..., 0], todo[..., 1])
         sign = j[0] * j[3] - j[1] * j[2] > 0
         side = np.sqrt(((todo - np.roll(todo, -1, axis=1)) ** 2).sum(-1)).max(1)
         cut = (sign.any(1) & ~sign.all(1)) & (side >= eps)
@@ -87,7 +89,7 @@ def source_map(p: tuple, xr: tuple, yr: tuple, eps: float) -> np.ndarray:
         mid = (t[:, 0] + t[:, 1]) / 2
         todo = np.concatenate([np.stack([t[:, 2], t[:, 0], mid], 1), np.stack([t[:, 1], t[:, 2], mid], 1)])
     t = np.concatenate(done)
-    ax, ay = alpha(p, t[..., 0], t[..., 1])
+    ax, ay = model.alpha(p, t[..., 0], t[..., 1])
     return np.stack([t, np.stack([t[..., 0] - ax, t[..., 1] - ay], axis=-1)], axis=1)
 
 
@@ -119,21 +121,22 @@ class SourceGrid:
         return pick[(side >= -1e-15).all(1) | (side <= 1e-15).all(1)]
 
 
-def images_of(p: tuple, grid: SourceGrid, xs: float, ys: float, max_sdf: float) -> list[tuple]:
-    """(x, y, mag, sdf) of a source's images, brightest first."""
+def images_of(p: tuple, grid: SourceGrid, xs: float, ys: float, sdf_stop: float, model: LensModel = NSIEG) -> list[tuple]:
+    """(x, y, mag, sdf) of a source's images, brightest first. sdf_stop ends the search for an image; none is left out for its
+    sdf, so a caller filters by that. Images that lie at one place within 1e-5 are one."""
     def residual(v: np.ndarray) -> np.ndarray:
-        ax, ay = alpha(p, v[..., 0], v[..., 1])
+        ax, ay = model.alpha(p, v[..., 0], v[..., 1])
         return (v[..., 0] - ax - xs) ** 2 + (v[..., 1] - ay - ys) ** 2
 
     start = grid.t[grid.holding(xs, ys), 0]
     if not len(start):
         return []
-    found = nelder_mead(residual, start, max_iterations=1024, stop_at=max_sdf)
+    found = nelder_mead(residual, start, max_iterations=1024, stop_at=sdf_stop)
     # Newton's steps finish what the simplex has brought near.
     for _ in range(8):
-        ax, ay = alpha(p, found[:, 0], found[:, 1])
+        ax, ay = model.alpha(p, found[:, 0], found[:, 1])
         dx, dy = xs - (found[:, 0] - ax), ys - (found[:, 1] - ay)
-        a, b, c, d = jacobian(p, found[:, 0], found[:, 1])
+        a, b, c, d = model.jacobian(p, found[:, 0], found[:, 1])
         det = a * d - b * c
         with np.errstate(invalid="ignore", divide="ignore"):
             new = found + np.stack([(d * dx - b * dy) / det, (a * dy - c * dx) / det], axis=1)
@@ -142,10 +145,10 @@ def images_of(p: tuple, grid: SourceGrid, xs: float, ys: float, max_sdf: float)
     sdf = residual(found)
     kept: list[int] = []
     for k in np.argsort(sdf, kind="stable"):
-        if sdf[k] < 1e-12 and all(((found[k] - found[j]) ** 2).sum() > 1e-10 for j in kept):
+        if all(((found[k] - found[j]) ** 2).sum() > 1e-10 for j in kept):
             kept.append(k)
     f = found[kept]
-    a, b, c, d = jacobian(p, f[:, 0], f[:, 1])
+    a, b, c, d = model.jacobian(p, f[:, 0], f[:, 1])
     mag = 2.5 * np.log10(np.abs(a * d - b * c))
     order = np.argsort(mag, kind="stable")
     return [(float(f[k, 0]), float(f[k, 1]), float(mag[k]), float(sdf[kept[k]])) for k in order]
@@ -154,9 +157,11 @@ def images_of(p: tuple, grid: SourceGrid, xs: float, ys: float, max_sdf: float)
 SIMULATED = "model_id long, xs_i int, ys_i int, b double, e double, te double, g double, tg double, s double, xs double, ys double, nimg int, x double, y double, mag double, sdf double"
 
 
-def simulate(grid: DataFrame, xs: str, ys: str, x: str, y: str, nmin: int = 1, nmax: int | None = None, eps: float = 1e-3, sdf: float = 1e-31) -> DataFrame:
+def simulate(grid: DataFrame, xs: str, ys: str, x: str, y: str, nmin: int = 1, nmax: int | None = None, eps: float = 1e-3, sdf: float = 1e-31, model: LensModel = NSIEG) -> DataFrame:
     """A row for each image of each source of each model of the grid (te and tg in degrees), for configurations of nmin
-    to nmax - 1 images. A model's triangles are made once for all its sources; a task handles a model at a time."""
+    to nmax - 1 images. A model's triangles are made once for all its sources; a task handles a model at a time.
+    model: the kind of lens, which takes the grid's parameters."""
+    ship(grid.sparkSession)
     xr, yr = parse_range(x), parse_range(y)
     xr, yr = (xr[0], xr[1], xr[2]), (yr[0], yr[1], yr[2])
     sx, sy = parse_range(xs), parse_range(ys)
@@ -165,11 +170,11 @@ def simulate(grid: DataFrame, xs: str, ys: str, x: str, y: str, nmin: int = 1, n
         for part in parts:
             for m in part.itertuples(index=False):
                 p = (m.b, m.e, np.radians(m.te), m.g, np.radians(m.tg), m.s)
-                sources, rows = SourceGrid(source_map(p, xr, yr, eps)), []
+                sources, rows = SourceGrid(source_map(p, xr, yr, eps, model)), []
                 for i in range(sx[2] + 1):
                     for j in range(sy[2] + 1):
                         u, v = (r[0] + k * (r[1] - r[0]) / max(r[2], 1) for r, k in ((sx, i), (sy, j)))
-                        got = images_of(p, sources, u, v, sdf)
+                        got = images_of(p, sources, u, v, sdf, model)
                         if nmin <= len(got) and (nmax is None or len(got) < nmax):
                             rows += [(m.model_id, i, j, m.b, m.e, m.te, m.g, m.tg, m.s, u, v, len(got), *r) for r in got]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIMULATED.split(", ")])

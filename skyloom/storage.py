@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +51,17 @@ def discard(made: DataFrame) -> None:
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application has written with materialise, once its results have been taken."""
     _delete(spark, shared_dir(spark))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_skyloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(), f"skyloom_{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(target)
+    sc._skyloom_shipped = True
