@@ -100,16 +100,17 @@ def _bins(sketch: DataFrame, prefix: str, *keys: str) -> DataFrame:
     return merged.groupBy(*keys).agg(F.sum(F.when(F.col("rate") == RATES[0], F.col("n"))).alias(f"{prefix}_total"), *[F.collect_list(of(r)).alias(f"{prefix}_{r}") for r in SKETCHED])
 
 
-def limits(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """(lkey, skey, lim): the LIMITS of each group that has documents past the base rule."""
-    sketch = materialise(sketch, "quality-sketches").withColumn("akey", F.lit("*"))
+def limits(sketch: DataFrame, prior: int = PRIOR, n_docs: int | None = None) -> DataFrame:
+    """(lkey, skey, lim): the LIMITS of each group that has documents past the base rule. n_docs, if known, bounds the rows written."""
+    # akey, written out, is a key that joins all groups with the one row for all documents.
+    sketch = materialise(sketch.withColumn("akey", F.lit("*")), "quality-sketches", n_docs and n_docs * len(SKETCHED))
     own, lang, every = _bins(sketch, "o", "lkey", "skey", "akey"), _bins(sketch, "l", "lkey"), _bins(sketch, "a", "akey")
     g = own.join(lang, "lkey").join(every, "akey")
     scaled = lambda p, r: f"transform({p}_{r}, x -> struct(x.edge, ({prior * SCALE}L * x.n) DIV {p}_total AS n))"
     g = g.select("lkey", "skey", *[F.expr(f"sort_array(concat(transform(o_{r}, x -> struct(x.edge, {SCALE}L * x.n AS n)), {scaled('l', r)}, {scaled('a', r)}))").alias(f"b_{r}") for r in SKETCHED])
     g = g.select("*", *[F.expr(f"aggregate(b_{r}, 0L, (a, x) -> a + x.n)").alias(f"t_{r}") for r in SKETCHED])
     q = g.select("lkey", "skey", *[F.expr(quantile(f"b_{r}", f"t_{r}", p)).alias(f"{r}_{p}") for r, ps in SKETCHED.items() for p in ps])
-    return materialise(q.select("lkey", "skey", F.struct(*[F.expr(rule.format(div="DIV")).alias(name) for name, rule in LIMITS.items()]).alias("lim")), "quality-limits")
+    return materialise(q.select("lkey", "skey", F.struct(*[F.expr(rule.format(div="DIV")).alias(name) for name, rule in LIMITS.items()]).alias("lim")), "quality-limits", n_docs)
 
 
 def keyed(df: DataFrame, lang: Column, source: Column) -> DataFrame:
@@ -128,14 +129,14 @@ def quality_rules(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the rates, for every row of docs."""
     measured = keyed(measures(spread(docs.select("doc_id", "text", "lang", "source")), F.col("text")), F.col("lang"), F.col("source")).drop("text", "lang", "source")
     measured = materialise(measured, "quality-measures")
-    return judged(measured, limits(sketches(measured), prior)).select("doc_id", *BASE, "base_failed", "kept", *RATES)
+    return judged(measured, limits(sketches(measured), prior, measured.count())).select("doc_id", *BASE, "base_failed", "kept", *RATES)
 
 
 def filter_documents(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. Rows are written once with their measures, so texts are measured once."""
     measured = keyed(measures(spread(whole_rows(docs)), F.col("doc.text")), F.col("doc.lang"), F.col("doc.source"))
     measured = materialise(measured, "quality-measures")
-    return judged(measured, limits(sketches(measured), prior)).filter("kept").select("doc.*")
+    return judged(measured, limits(sketches(measured), prior, measured.count())).filter("kept").select("doc.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
