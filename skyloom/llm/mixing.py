@@ -88,20 +88,20 @@ def ranked(sized: DataFrame, alloc: DataFrame, *more: str) -> DataFrame:
     return r.withColumn("bucket", F.expr(f"CAST(floor(rank / (1 + rank) * ({BUCKETS} + n_docs DIV {ROWS_PER_BUCKET})) AS BIGINT)")).drop("_e", "_p", "_u")
 
 
-def sample_ends(sized: DataFrame, alloc: DataFrame) -> DataFrame:
+def sample_ends(sized: DataFrame, alloc: DataFrame, n_docs: int) -> DataFrame:
     """alloc with end_bucket and end (rank, draw): documents of lower buckets are drawn, those of this one up to the end."""
     r = ranked(sized, alloc).filter("rank IS NOT NULL")
     hist = r.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("run", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    last = materialise(hist.filter("run <= wanted AND run + words > wanted").groupBy("source").agg(F.min("bucket").alias("end_bucket"), F.min_by("run", "bucket").alias("run")), "mix-buckets")
+    last = materialise(hist.filter("run <= wanted AND run + words > wanted").groupBy("source").agg(F.min("bucket").alias("end_bucket"), F.min_by("run", "bucket").alias("run")), "mix-buckets", n_docs)
     inside = r.alias("d").join(last.alias("b"), F.expr("d.source <=> b.source AND d.bucket = b.end_bucket")).select("d.source", "rank", "draw", "size", "wanted", "run")
     units = inside.groupBy("source", "rank", "draw").agg(F.sum("size").alias("size"), F.first("wanted").alias("wanted"), F.first("run").alias("run"))
     order = Window.partitionBy("source").orderBy("rank", "draw").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("at", F.expr("run") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     ends = units.filter("2 * at + size <= 2 * wanted").groupBy("source").agg(F.max(F.struct("rank", "draw")).alias("end"))
     a = alloc.alias("a").join(last.alias("b"), F.expr("a.source <=> b.source"), "left").join(ends.alias("e"), F.expr("a.source <=> e.source"), "left")
-    return materialise(a.select("a.*", "end_bucket", "end"), "mix-ends")
+    return materialise(a.select("a.*", "end_bucket", "end"), "mix-ends", n_docs)
 
 
 def sized_documents(docs: DataFrame, doc_id: Column, source: Column, text: Column, *keep: str) -> DataFrame:
@@ -116,8 +116,9 @@ def _drawn(sized: DataFrame, ends: DataFrame) -> DataFrame:
 
 def plan_mix(sized: DataFrame) -> DataFrame:
     """A row per source with all that decides its documents' copies; materialised, so its size is known before any join."""
-    wanted = materialise(targets(sized), "mix-targets")
-    return sample_ends(sized, materialise(allocation(sized, wanted), "mix-allocation"))
+    n_docs = sized.count()  # from the files' footers
+    wanted = materialise(targets(sized), "mix-targets", n_docs)
+    return sample_ends(sized, materialise(allocation(sized, wanted), "mix-allocation", n_docs), n_docs)
 
 
 def mix(docs: DataFrame) -> DataFrame:
