@@ -253,18 +253,20 @@ def _oracle() -> str:
     """DuckDB SQL: templates as regular expressions over the words."""
     items = [(label, parse(t)) for label, t in TEMPLATES]
     found = [(label, sum(isinstance(x, bytes) for x in i), f"regexp_matches(s, ' {pattern(i)}')") for label, i in items]
-    split = [(words_of(p.encode()), label) for p, label in PHRASES]
-    at = [f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {k + 1}] = {x.decode()!r}' for k, x in enumerate(p))})" for p, _ in split]
-    has = [(label, len(p), f"len(p{k}) > 0") for k, (p, label) in enumerate(split)]
-    listed = lambda found: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(f'CASE WHEN {c} THEN {label!r} END' for label, _, c in found)}], lambda x: x IS NOT NULL))), ',')"
-    best = f"greatest(0, {', '.join(f'CASE WHEN {c} THEN {n} ELSE 0 END' for _, n, c in found + has)})"
-    every = " || ".join(f"p{k}" for k in range(len(split)))
+    split = [([x.decode() for x in words_of(p.encode())], label) for p, label in PHRASES]
+    longest = max(len(p) for p, _ in split)
+    leads = ", ".join(f"lead(w0, {k}) OVER (PARTITION BY rid ORDER BY i) AS w{k}" for k in range(1, longest))
+    places = " UNION ALL ".join(f"SELECT rid, i, '{label}' AS label, {len(p)} AS n FROM k WHERE {' AND '.join(f"w{j} = '{x}'" for j, x in enumerate(p))}" for p, label in split)
+    labels = ", ".join(f"CASE WHEN {c} THEN '{label}' END" for label, _, c in found)
+    best = ", ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for _, n, c in found)
     return f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-u AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS s, {', '.join(f'{x} AS p{k}' for k, x in enumerate(at))} FROM t),
-v AS (SELECT *, {every} AS p, {best} AS best FROM u)
-SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word, list_max(p)::BIGINT AS last_word, {listed(has)} AS base_labels,
-    {listed(found + has)} AS labels, best::DOUBLE / (best + 2) AS score FROM v"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+k AS (SELECT *, {leads} FROM (SELECT rid, unnest(w) AS w0, unnest(range(0, len(w))) AS i FROM t)),
+b AS (SELECT rid, count(*)::BIGINT AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word, list(DISTINCT label) AS base, max(n) AS best FROM ({places}) GROUP BY rid),
+u AS (SELECT *, list_filter([{labels}], lambda x: x IS NOT NULL) AS found, greatest({best}) AS most FROM (SELECT rid, doc_id, len(w)::BIGINT AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t))
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(found, coalesce(base, [])))), ',') AS labels, greatest(most, coalesce(best, 0))::DOUBLE / (greatest(most, coalesce(best, 0)) + 2) AS score
+FROM u LEFT JOIN b USING (rid)"""
 
 
 ORACLE = _oracle()

@@ -147,12 +147,13 @@ def _oracle(docs: str = "documents", doc_out: str = "doc_id, n_words, word_chars
     """DuckDB SQL, by windows that are unnested and grouped."""
     q = ", ".join(f"min(edge) FILTER (rate = '{r}' AND 100 * run >= {p} * total) AS {r}_{p}" for r, ps in SKETCHED.items() for p in ps)
     lim = ", ".join(f"{rule.format(div='//')} AS {name}" for name, rule in LIMITS.items())
+    leads = ", ".join(f"lead(x, {k}) OVER z" for k in range(1, WINDOW))
     long = " UNION ALL ".join(f"SELECT lkey, skey, '{r}' AS rate, {r} AS value FROM m WHERE NOT base_failed" for r in SKETCHED)
     return f"""
 WITH src AS (SELECT *, row_number() OVER () AS rid FROM {docs}),
 t AS (SELECT rid, doc_id, coalesce('=' || lang, '') AS lkey, coalesce('=' || source, '') AS skey, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM src),
-win AS (SELECT rid, p, w[p + 1 : p + {WINDOW}] AS v FROM (SELECT rid, w, unnest(range(0, len(w) - {WINDOW - 1})) AS p FROM t)),
+win AS (SELECT rid, p, v FROM (SELECT rid, p, [x, {leads}] AS v, lead(x, {WINDOW - 1}) OVER z AS last FROM (SELECT rid, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM t) WINDOW z AS (PARTITION BY rid ORDER BY p)) WHERE last IS NOT NULL),
 rep AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, v) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT p + k) AS n FROM rep, range(0, {WINDOW}) AS r(k) GROUP BY rid),
 li AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM t)

@@ -243,9 +243,9 @@ def test_bpe_against_the_library(spark, sf):
 
 
 def test_license_texts_are_whole(spark):
-    fill = lambda t: re.sub(r"<<var:\d+>>", "the holder", re.sub(r"<</?opt>>", "", t))
+    fill = lambda t: re.sub(r"<<var:\d+>>", "the holder", re.sub(r"<</?opt>>", " ", t))
     texts = {label: fill(t) for label, t in license_scan.TEMPLATES if label in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0-notice", "gpl-2.0-notice", "gpl-3.0-notice")}
-    rows = [(k, t) for k, t in enumerate(texts.values())] + [(100 + k, t.replace(" and ", " and commercial ", 3).replace("SOFTWARE", "WORK")) for k, t in enumerate(texts.values())]
+    rows = [(k, t) for k, t in enumerate(texts.values())] + [(100 + k, t.replace(" the ", " some ", 3)) for k, t in enumerate(texts.values())]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, label in enumerate(texts):
         assert label in got[k]["labels"].split(",") and label not in got[100 + k]["labels"].split(",")
@@ -506,8 +506,8 @@ def test_limits_follow_their_group(spark):
     assert width["wide"] > 3 * width["even"] and lim["marks"]["hi_symbol_rate"] > 5 * lim["even"]["hi_symbol_rate"]
     # A small group leans on the rest, and its limits move a little with each document, at no size by a jump.
     assert width["even"] < width["small"]
-    odd = spark.createDataFrame([(1, " ".join(word(9) for _ in range(60)), "en", s) for s in ("even", "wide")], d.schema)
-    kept = [r["kept"] for r in quality_rules.quality_rules(d.unionByName(odd)).filter("doc_id = 1").orderBy("mean_len", "kept").collect()]
+    odd = spark.createDataFrame([(9000, " ".join(word(9) for _ in range(60)), "en", s) for s in ("even", "wide")], d.schema)
+    kept = [r["kept"] for r in quality_rules.quality_rules(d.unionByName(odd)).filter("doc_id = 9000").collect()]
     assert sorted(kept) == [False, True]
 
 
@@ -549,7 +549,7 @@ def test_pipeline(spark, sf, tmp_path):
         return con.execute(sql).to_arrow_table().to_pylist()
 
     here = [r for r, v in zip(here, x) if walked(v) >= 0.3]
-    assert 0 < len(here) < len(rows)
+    assert 0 < len(here) < docs.count()
     kept = {r["doc_id"] for r in by_sql(quality_rules.ORACLE, here) if r["kept"]}
     here = [r for r in here if r["doc_id"] in kept]
     here = sorted(here, key=lambda r: r["doc_id"])
