@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import ship
@@ -82,10 +82,17 @@ def corners_of(ids: np.ndarray) -> list[np.ndarray]:
     return corners
 
 
+def _ship() -> None:
+    """Columns don't know their session; the workers of the active one get the package."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
+
+
 def trixel_of(x: Column, y: Column, z: Column, level: int) -> Column:
     """The id of the trixel of a level that holds the unit vector; null for a null one."""
     if not 0 <= level <= MAX_LEVEL:
         raise ValueError(f"level {level} isn't within 0 and {MAX_LEVEL}")
+    _ship()
 
     @F.arrow_udf("bigint")
     def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
@@ -99,7 +106,6 @@ def trixel_of(x: Column, y: Column, z: Column, level: int) -> Column:
 
 def with_trixel(df: DataFrame, x: Column, y: Column, z: Column, level: int, name: str = "htm_id") -> DataFrame:
     """df with the id of the trixel of a level that holds the unit vector."""
-    ship(df.sparkSession)
     return df.withColumn(name, trixel_of(x, y, z, level))
 
 
@@ -120,6 +126,7 @@ def id_of(name: Column) -> Column:
 
 def vertices_of(htm_id: Column) -> Column:
     """Struct of the corners a, b, c (each x, y, z)."""
+    _ship()
 
     @F.arrow_udf(f"{', '.join(f'{k} struct<x double, y double, z double>' for k in 'abc')}")
     def run(ids: pa.Array) -> pa.Array:
@@ -203,6 +210,7 @@ def cone_cover(centre, cos_radius: float, level: int) -> list[int]:
 
 def cover_column(x: Column, y: Column, z: Column, cos_radius: float, level: int) -> Column:
     """Array of the ids that cover the cone around a unit vector; null for a null one."""
+    _ship()
 
     @F.arrow_udf("array<bigint>")
     def cover(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:

@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows for each file at least, where a table's rows are known to be bounded.
 ROWS_PER_FILE = 250_000
+#: Tables written within each open call of settled().
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +38,23 @@ def materialise(df: DataFrame, label: str, most_rows: int | None = None) -> Data
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made._written = path
+    if _scopes:
+        _scopes[-1].append(path)
+    return made
+
+
+def settled(make: Callable[[], DataFrame], label: str, most_rows: int | None = None) -> DataFrame:
+    """Writes what make() gives as materialise does, then deletes the tables that make() has written on the way to it."""
+    _scopes.append([])
+    try:
+        made = materialise(make(), label, most_rows)
+    finally:
+        written = _scopes.pop()
+    for path in written:
+        if path != made._written:
+            _delete(made.sparkSession, path)
+    if _scopes:
+        _scopes[-1].append(made._written)
     return made
 
 

@@ -65,7 +65,7 @@ def test_least_squares_recovers_a_line(spark):
     from skyloom.operators import linear as W
 
     rows = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") / 100 - 1).alias("a")).select("row_id", (0.5 + 2 * F.col("a")).alias("y"), F.array("a").alias("x"), F.lit(1.0).alias("w"))
-    w, cost, _ = W.fit(rows, 1, W.LINEAR, alpha=0.05, max_iterations=2000, eps=1e-12)
+    w, cost, _ = W.fit(rows, 1, W.LINEAR, local=True, alpha=0.05, max_iterations=2000, eps=1e-12)
     assert abs(w[0] - 0.5) < 1e-3 and abs(w[1] - 2) < 1e-3
 
 
@@ -435,13 +435,24 @@ def test_shared_folder_of_a_cluster():
 def test_tables_can_be_deleted(spark):
     from pathlib import Path
 
-    from skyloom.storage import discard, materialise
+    from skyloom.storage import discard, materialise, settled
 
     made = materialise(spark.range(3), "trial")
     place = Path(made._written.removeprefix("file:"))
     assert made.count() == 3 and place.exists()
     discard(made)
     assert not place.exists()
+    on_the_way = []
+
+    def make():
+        on_the_way.append(materialise(spark.range(5), "trial"))
+        inner = settled(lambda: materialise(on_the_way[0].filter("id > 1"), "trial"), "trial")
+        on_the_way.append(inner)
+        return inner.filter("id > 2")
+
+    made = settled(make, "trial")
+    assert sorted(r["id"] for r in made.collect()) == [3, 4]
+    assert not any(Path(t._written.removeprefix("file:")).exists() for t in on_the_way)
 
 
 def test_sky_queries_stand_alone(monkeypatch):
