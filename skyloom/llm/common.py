@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir  # noqa: F401
+from ..storage import materialise, settled  # noqa: F401
 
 #: Runs of white space as the result contracts define it (blank and TAB to CR).
 SPACES = r"[\x20\x09-\x0D]+"

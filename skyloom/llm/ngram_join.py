@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, slices, spread, table, utf8, whole_rows
+from .common import materialise, settled, ship, slices, spread, table, utf8, whole_rows
 from .graph import components
 from .license_scan import words_of
 
@@ -198,9 +198,15 @@ def _groups(comp: DataFrame, keys: DataFrame, buckets: DataFrame, texts: DataFra
 def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id, n_links, fp and first (the row's text is the one that stands for its class) for every row of docs."""
     bands, rows = bands_and_rows(threshold, recall)
-    exact = Fraction(threshold).limit_denominator(1000)
     sig = materialise(signatures(docs, n, bands, rows), "jaccard-signatures")
     n_docs = sig.count()  # from the files' footers
+    by_text = settled(lambda: _by_text(docs, sig, n_docs, n, Fraction(threshold).limit_denominator(1000), bands), "jaccard-classes", n_docs)
+    there = sig.filter("fp IS NOT NULL").select("doc_id", "fp").join(by_text, "fp").select("doc_id", "class_id", "n_links", "fp", "first")
+    return there.unionByName(sig.filter("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "fp", F.lit(True).alias("first")))
+
+
+def _by_text(docs: DataFrame, sig: DataFrame, n_docs: int, n: int, exact: Fraction, bands: int) -> DataFrame:
+    """fp, class_id, n_links and first for every text with words."""
     texts = sig.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"))
     texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "jaccard-texts", n_docs)
     reps = sig.select(F.col("doc_id").alias("rep"), "fp", "bands").join(texts, ["fp", "rep"]).dropDuplicates(["fp", "rep"])
@@ -237,9 +243,7 @@ def _classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     classes = whole.unionByName(split).groupBy("node").agg(F.min("comp").alias("comp"))
     least = classes.join(texts.select("node", "rep"), "node").groupBy("comp").agg(F.min(F.struct("rep", "node")).alias("least"))
     by_text = texts.join(links, "node", "left").join(classes.join(least, "comp").select("node", "least"), "node", "left")
-    by_text = materialise(by_text.select("fp", F.coalesce("least.rep", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce(F.col("least.node") == F.col("node"), F.lit(True)).alias("first")), "jaccard-classes", n_docs)
-    there = sig.filter("fp IS NOT NULL").select("doc_id", "fp").join(by_text, "fp").select("doc_id", "class_id", "n_links", "fp", "first")
-    return there.unionByName(sig.filter("fp IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "fp", F.lit(True).alias("first")))
+    return by_text.select("fp", F.coalesce("least.rep", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce(F.col("least.node") == F.col("node"), F.lit(True)).alias("first"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
