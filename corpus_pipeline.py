@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import bpe, mixing, ngram_join, quality_model, quality_rules
-from skyloom.llm.common import materialise, table
+from skyloom.llm.common import settled, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("classify", classify), ("rules", apply_rules), ("near_duplicates", drop_near_duplicates), ("mix", mix_sources), ("encode", encode)]
-#: Trained models and token ids aren't expressible in SQL; tests hold the stages against brute force.
+#: Trained models and token ids aren't expressible in SQL; a test holds run() against plain versions of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next; what a stage writes on the way is deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
