@@ -43,7 +43,8 @@ def cone_pairs(a: DataFrame, b: DataFrame, radius: float, dmag: list[float] | No
     for k, d in enumerate(dmag or []):
         near = near & (F.abs(F.col("_m0")[k] - F.col("_m1")[k]) <= d)
     keys = ["c0", "c1", "c2", "salt"]
-    met = left.join(right, [left[k] == right[k] for k in keys] + [near])
+    # Sides grow with the input, and a small compressed file may hold many rows: by its size alone Spark would broadcast one through the driver.
+    met = left.join(right.hint("merge"), [left[k] == right[k] for k in keys] + [near])
     return met.select("id0", "id1", dot.alias("dot"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))).alias("dist"), *[f"a_{c}" for c in keep_a], *[f"b_{c}" for c in keep_b])
 
 
@@ -56,7 +57,7 @@ def best_match(a: DataFrame, b: DataFrame, radius: float, dmag: list[float] | No
 def match_count(a: DataFrame, b: DataFrame, radius: float, dmag: list[float] | None = None, **options) -> DataFrame:
     """(id1, n): partners in a of every row of b, 0 included."""
     n = cone_pairs(a, b, radius, dmag, **options).groupBy("id1").agg(F.count("*").alias("n"))
-    return b.select(F.col("obj_id").alias("id1")).join(n, "id1", "left").select("id1", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return b.select(F.col("obj_id").alias("id1")).join(n.hint("merge"), "id1", "left").select("id1", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def cone_join(a: DataFrame, b: DataFrame, radius: float, dmag: list[float] | None = None, how: str = "all", **options) -> DataFrame:
@@ -69,9 +70,9 @@ def cone_join(a: DataFrame, b: DataFrame, radius: float, dmag: list[float] | Non
     if how == "all":
         return pairs
     if how in ("semi", "anti"):
-        return b.join(pairs.select(F.col("id1").alias("obj_id")), "obj_id", f"left_{how}")
+        return b.join(pairs.select(F.col("id1").alias("obj_id")).hint("merge"), "obj_id", f"left_{how}")
     if how == "left":
-        return b.select(F.col("obj_id").alias("id1")).join(pairs, "id1", "left")
+        return b.select(F.col("obj_id").alias("id1")).join(pairs.hint("merge"), "id1", "left")
     raise ValueError(f"unknown join {how}")
 
 
