@@ -1,8 +1,8 @@
 """Least squares by Adam, and the separating hyperplane made with it.
 
 A model gives its value and the value's derivative by the score, as Columns and for numpy. Each step is one aggregate that
-yields cost and gradient together, of rows that are written and cached once. With local=True, for tables that fit the
-driver's memory, the same steps run there in numpy.
+yields cost and gradient together, of rows that are written and cached once. With local=True equal rows are counted first,
+and where few enough differ the same steps run on the driver in numpy.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..storage import discard, materialise
 
 #: Modulus of the hashes that draw batches.
 PRIME = (1 << 31) - 1
+#: Numbers in the different rows that local=True takes to the driver at most.
+LOCAL_VALUES = 2_000_000
 
 
 def score(weights: list[float], x: list[Column]) -> Column:
@@ -48,11 +50,11 @@ SIGMOID = Model(sigmoid, lambda z: sigmoid(z) * (1 - sigmoid(z)), _np_sigmoid, l
 
 
 def cost_gradient(rows: DataFrame, weights: list[float], model: Model = SIGMOID, drawn: Column | None = None) -> DataFrame:
-    """One row: cost, g0..gk. rows: y, x (array), w. With drawn, the gradient is that of the rows for which it is true."""
+    """One row: cost, g0..gk. rows: y, x (array), w and, if equal rows are counted, n. With drawn, the gradient is that of the rows for which it is true."""
     x = [F.col("x")[k] for k in range(len(weights) - 1)]
     d = rows.withColumn("_z", score(weights, x))
     d = d.withColumns({"_f": model.value(F.col("_z")) - F.col("y"), "_s": model.slope(F.col("_z"))})
-    w2 = F.col("w") * F.col("w")
+    w2 = F.col("w") * F.col("w") * F.col("n") if "n" in rows.columns else F.col("w") * F.col("w")
     part = F.lit(1.0) if drawn is None else F.when(drawn, 1.0).otherwise(0.0)
     return d.agg((0.5 * F.sum(w2 * F.col("_f") * F.col("_f"))).alias("cost"), *[F.sum(part * w2 * F.col("_f") * F.col("_s") * v).alias(f"g{k}") for k, v in enumerate([F.lit(1.0), *x])])
 
@@ -77,16 +79,22 @@ def draw(step: int) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def fit(rows: DataFrame, n_attributes: int, model: Model = SIGMOID, start: list[float] | None = None, batch_size: int | None = None, local: bool = False, **options) -> tuple[np.ndarray, float, int]:
+def fit(rows: DataFrame, n_attributes: int, model: Model = SIGMOID, start: list[float] | None = None, batch_size: int | None = None, local: bool = False, local_values: int = LOCAL_VALUES, **options) -> tuple[np.ndarray, float, int]:
     """Fits rows (row_id, y, x, w). With batch_size, gradients come from about that many rows, drawn anew by hash of row_id at each
-    step; the cost always from all. local=True takes the rows to the driver, where the same rows are drawn and the same sums made."""
+    step; the cost always from all. local=True counts equal rows and, if the different ones have local_values numbers at most,
+    takes those to the driver, where the same rows are drawn and the same sums made; more of them stay where they are."""
     start = np.zeros(n_attributes + 1) if start is None else np.asarray(start, float)
     keyed = F.pmod(F.xxhash64("row_id"), F.lit(PRIME)).alias("_h") if batch_size else F.lit(0).alias("_h")
     rows = rows.select("y", "w", "x", keyed)
     if local:
-        t = rows.toArrow()
-        n, y, w2, h = t.num_rows, t["y"].to_numpy(), t["w"].to_numpy() ** 2, t["_h"].to_numpy().astype(np.int64)
-        x = np.column_stack([np.ones(n), np.array(t["x"].to_pylist(), float).reshape(n, n_attributes)])
+        rows = rows.groupBy("y", "w", "x", "_h").agg(F.count("*").alias("n"))
+    written = materialise(rows, "least-squares")
+    if local and written.count() * (n_attributes + 4) <= local_values:
+        t = written.toArrow()
+        discard(written)
+        counts = t["n"].to_numpy()
+        n, y, w2, h = int(counts.sum()), t["y"].to_numpy(), t["w"].to_numpy() ** 2 * counts, t["_h"].to_numpy().astype(np.int64)
+        x = np.column_stack([np.ones(t.num_rows), np.array(t["x"].to_pylist(), float).reshape(t.num_rows, n_attributes)])
 
         def here(w: np.ndarray, step: int) -> tuple[float, np.ndarray]:
             z = x @ w
@@ -99,9 +107,8 @@ def fit(rows: DataFrame, n_attributes: int, model: Model = SIGMOID, start: list[
             return 0.5 * float((w2 * f * f).sum()), x[pick].T @ r[pick]
 
         return adam(here, start, **options)
-    written = materialise(rows, "least-squares")
     cached = written.persist()
-    n = cached.count()
+    n = cached.agg(F.sum("n")).first()[0] if local else cached.count()
 
     def spread(w: np.ndarray, step: int) -> tuple[float, np.ndarray]:
         drawn = None
