@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import circ_mean
+from ..llm.common import spread
 from ..storage import materialise, ship
 
 #: Rows of a node whose subtree one group grows, or more where MOST_OPEN nodes wouldn't do; nodes that are broadcast at most, while growing and as a model.
-LOCAL_ROWS, MOST_OPEN, MODEL_NODES = 50_000, 1 << 17, 2_000_000
+LOCAL_ROWS, MOST_OPEN, MODEL_NODES = 50_000, 1 << 17, 500_000
 NODE = "tree int, node long, attr int, cut double, leaf boolean, value double, spread double, classes map<int,bigint>, left long, right long"
 _U = np.uint64
 
@@ -405,7 +406,7 @@ def fit(rows: DataFrame, n_attributes: int, mode: str = "R", n_trees: int = 10,
     auto = defaults(mode, n_attributes)
     ship(rows.sparkSession)
     src = rows.select("row_id", F.col("y").cast("double").alias("y"), F.slice("x", 1, n_attributes).cast("array<double>").alias("x"))
-    src = materialise(src.filter(f"y IS NOT NULL AND NOT isnan(y) AND size(x) = {n_attributes} AND forall(x, v -> v IS NOT NULL AND NOT isnan(v))"), "trees-rows")
+    src = materialise(spread(src).filter(f"y IS NOT NULL AND NOT isnan(y) AND size(x) = {n_attributes} AND forall(x, v -> v IS NOT NULL AND NOT isnan(v))"), "trees-rows")
     n, mean = src.agg(F.count("*"), F.avg("y")).first()
     if not n:
         raise ValueError("no rows to learn from")
@@ -478,19 +479,65 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NODE).parquet(path)
 
 
-def apply_trees(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(row_id, tree, value, classes): the leaf of each row in each tree, a join a level, whatever the model's size and depth."""
+def _ragged(lists: pa.ListArray, p: int) -> np.ndarray:
+    """rows x p of lists of any length; what isn't there is NaN."""
+    x = np.full((len(lists), p), np.nan)
+    width = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    row, col = np.repeat(np.arange(len(width)), width), np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width)
+    x[row[col < p], col[col < p]] = flat[col < p]
+    return x
+
+
+def _walk(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Rows routed through a part of a tree: to a leaf or to the node at which another part begins."""
+    nodes = nodes.sort_by("node")
+    ids, at = nodes["node"].to_numpy(), rows["node"].to_numpy()
+    place = lambda v: np.where((i := np.searchsorted(ids, v)) < len(ids), np.where(ids[np.minimum(i, len(ids) - 1)] == v, i, -1), -1)
+    if not len(ids):
+        rows = rows.slice(0, 0)
+    else:
+        rows = rows.filter(pa.array(place(at) >= 0))
+    node = rows["node"].to_numpy().copy()
+    at, attr = place(node) if len(ids) else node, nodes["attr"].fill_null(-1).to_numpy()
+    children, cut = [nodes[c].fill_null(-1).to_numpy() for c in ("left", "right")], nodes["cut"].fill_null(0.0).to_numpy()
+    places = [place(c) if len(ids) else c for c in children]
+    x = _ragged(rows["x"].combine_chunks(), int(attr.max(initial=-1)) + 1)
+    gone, on = np.zeros(len(at), bool), np.flatnonzero(attr[at] >= 0)
+    while len(on):
+        left = x[on, attr[at[on]]] < cut[at[on]]
+        node[on], to = (np.where(left, c[0][at[on]], c[1][at[on]]) for c in (children, places))
+        gone[on[to < 0]] = True
+        on, to = on[to >= 0], to[to >= 0]
+        at[on] = to
+        on = on[attr[to] >= 0]
+    end = pa.array(at, mask=gone)
+    return pa.table({"row_id": rows["row_id"], "x": rows["x"], "tree": rows["tree"], "node": pa.array(node), "leaf": pa.array(~gone), "value": nodes["value"].combine_chunks().take(end), "classes": nodes["classes"].combine_chunks().take(end)})
+
+
+def apply_trees(rows: DataFrame, model: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(row_id, tree, value, classes): the leaf of each row in each tree, whatever the model's size and depth.
+
+    A group gets the nodes of one subtree as fit has grown it, by its ids, and about local_rows of the rows that come to it; a
+    round of groups takes rows through the top of the trees, the next through the subtrees."""
+    ship(rows.sparkSession)
     trees = (model.agg(F.max("tree")).first()[0] or 0) + 1
-    state = rows.select("row_id", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("node"))
-    found = None
+    part = F.shiftright("node", 32).alias("part")
+    nodes = model.select("tree", "node", "attr", "cut", "value", "classes", "left", "right", part)
+    state = rows.select("row_id", F.col("x").cast("array<double>").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("node"))
+    kind, found, keys = rows.schema["row_id"].dataType.simpleString(), None, ["tree", "part", "salt"]
     while True:
-        at = materialise(state.join(model, ["tree", "node"]).select("row_id", "x", "tree", "attr", "cut", "leaf", "value", "classes", "left", "right"), "trees-walk")
+        state = state.select("*", part)
+        sizes = materialise(state.groupBy("tree", "part").agg(F.ceil(F.count("*") / F.lit(local_rows)).alias("n")), "trees-sizes")
+        sent = state.join(sizes.hint("merge"), ["tree", "part"]).withColumn("salt", F.pmod(F.xxhash64("row_id"), "n")).drop("n")
+        there = nodes.join(sizes.hint("merge"), ["tree", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+        walked = sent.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(_walk, f"row_id {kind}, x array<double>, tree int, node long, leaf boolean, value double, classes map<int,bigint>")
+        at = materialise(walked, "trees-walk")
         got = at.filter("leaf").select("row_id", "tree", "value", "classes")
         found = got if found is None else found.unionByName(got)
-        on = at.filter("NOT leaf")
-        if not on.head(1):
+        state = at.filter("NOT leaf").select("row_id", "x", "tree", "node")
+        if not state.head(1):
             return found
-        state = on.select("row_id", "x", "tree", F.when(F.get("x", F.col("attr")) < F.col("cut"), F.col("left")).otherwise(F.col("right")).alias("node"))
 
 
 def combine(votes: DataFrame, mode: str = "R") -> DataFrame:
@@ -517,11 +564,16 @@ class Forest:
         nodes = nodes.sort_by([("tree", "ascending"), ("node", "ascending")])
         tree, node = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
         self.mode, self.leaf = mode, nodes["leaf"].to_numpy(zero_copy_only=False)
-        place = {(t, n): i for i, (t, n) in enumerate(zip(tree.tolist(), node.tolist()))}
-        self.roots = [place[t, 0] for t in dict.fromkeys(tree.tolist())]
-        find = lambda c: np.array([-1 if v is None else place[t, v] for t, v in zip(tree.tolist(), nodes[c].to_pylist())], np.int64)
-        self.left, self.right = find("left"), find("right")
-        self.attr = np.array([-1 if a is None else a for a in nodes["attr"].to_pylist()], np.int64)
+        # Nodes are found by bisection in the sorted table: a dictionary of them takes some hundred bytes each.
+        starts = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+        self.roots = starts.tolist()  # node 0 of each tree
+        self.left, self.right = np.full(len(tree), -1), np.full(len(tree), -1)
+        for a, b in zip(starts, np.append(starts[1:], len(tree))):
+            for c, to in (("left", self.left), ("right", self.right)):
+                v = nodes[c].slice(a, b - a)
+                there = np.flatnonzero(v.is_valid().to_numpy())
+                to[a + there] = a + np.searchsorted(node[a:b], v.fill_null(0).to_numpy()[there])
+        self.attr = nodes["attr"].fill_null(-1).to_numpy().astype(np.int64)
         self.cut = nodes["cut"].to_numpy(zero_copy_only=False)
         self.value = nodes["value"].to_numpy(zero_copy_only=False)
         if mode == "C":
@@ -545,7 +597,7 @@ class Forest:
 
 def predict(rows: DataFrame, model: DataFrame, mode: str = "R", model_nodes: int = MODEL_NODES) -> DataFrame:
     """(row_id, value, uncertainty) for each of rows (row_id, x), which may be a stream. A model of model_nodes nodes at most is
-    sent to the tasks as arrays; a larger one is joined a level at a time, with the same result."""
+    sent to the tasks as arrays; a larger one goes to groups with the rows, with the same result."""
     if model.count() > model_nodes:
         return combine(apply_trees(rows, model), mode)
     ship(rows.sparkSession)
@@ -555,16 +607,12 @@ def predict(rows: DataFrame, model: DataFrame, mode: str = "R", model_nodes: int
         forest = shared.value
         p = int(forest.attr.max(initial=-1)) + 1
         for b in batches:
-            x = np.full((b.num_rows, p), np.nan)
-            lists = b.column(1)
-            width = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-            row, col = np.repeat(np.arange(len(width)), width), np.arange(len(flat)) - np.repeat(np.cumsum(width) - width, width)
-            x[row[col < p], col[col < p]] = flat[col < p]
-            value, spread = forest.predict(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array(spread)], names=["row_id", "value", "uncertainty"])
+            x = _ragged(b.column(1), p)
+            value, deviation = forest.predict(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array(deviation)], names=["row_id", "value", "uncertainty"])
 
     kind = rows.schema["row_id"].dataType.simpleString()
+    rows = rows if rows.isStreaming else spread(rows)
     return rows.select("row_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"row_id {kind}, value double, uncertainty double")
 
 
