@@ -512,7 +512,7 @@ def _walk(rows: pa.Table, nodes: pa.Table) -> pa.Table:
         at[on] = to
         on = on[attr[to] >= 0]
     end = pa.array(at, mask=gone)
-    return pa.table({"row_id": rows["row_id"], "x": rows["x"], "tree": rows["tree"], "node": pa.array(node), "leaf": pa.array(~gone), "value": nodes["value"].combine_chunks().take(end), "classes": nodes["classes"].combine_chunks().take(end)})
+    return pa.table({"row_id": rows["row_id"], "x": rows["x"].cast(pa.list_(pa.field("element", pa.float64()))), "tree": rows["tree"], "node": pa.array(node), "leaf": pa.array(~gone), "value": nodes["value"].combine_chunks().take(end), "classes": nodes["classes"].combine_chunks().take(end)})
 
 
 def apply_trees(rows: DataFrame, model: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
