@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import is_training, ship, slices, spread, table, utf8, whole_rows
 
@@ -152,16 +151,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
 
 
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs (its columns in the struct `doc`, which has a text) with a score."""
+    """docs (its columns in the struct `doc`, which has a text) with a score. Only texts go to Python and only scores come back: rows stay where they are."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            x = np.array([statistics(t) for t in utf8(b.column(1))], np.float64).reshape(b.num_rows, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x.astype(np.float32).astype(np.float64)))], names=["doc", "score"])
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [np.zeros(0)]
+            for b in slices([pa.RecordBatch.from_arrays([column], names=["text"])]):
+                x = np.array([statistics(t) for t in utf8(b.column(0))], np.float64).reshape(b.num_rows, len(NAMES))
+                parts.append(model.score(x.astype(np.float32).astype(np.float64)))
+            yield pa.array(np.concatenate(parts))
 
-    packed = spread(docs.select("doc", F.col("doc.text").alias("text")))
-    return packed.mapInArrow(run, T.StructType([packed.schema["doc"], T.StructField("score", T.DoubleType())]))
+    return spread(docs.select("doc")).select("doc", F.arrow_udf(run, "double")(F.col("doc.text")).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
