@@ -83,13 +83,12 @@ class Vocabulary:
         for content in self.special:
             ids.pop(content.encode(), None)
         self.byte_id = [ids[bytes([b])] for b in range(256)]
-        #: (left id, right id) -> (rank, id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: left id << 20 | right id -> rank << 20 | id
+        self.rank_of: dict[int, int] = {}
         for rank, m in enumerate(data["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             a, b = unletter(a), unletter(b)
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        self.rank_of = {a << 20 | b: rank << 20 | new for (a, b), (rank, new) in self.merges.items()}
+            self.rank_of[ids[a] << 20 | ids[b]] = rank << 20 | ids[a + b]
         self.token = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -107,9 +106,8 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the pair of least rank, the leftmost of equals; for long words with a heap over a linked list."""
         ids: list = list(map(self.byte_id.__getitem__, word))
-        n = len(ids)
+        n, get = len(ids), self.rank_of.get
         if n <= LONGEST:
-            get = self.rank_of.get
             ranks = [get(a << 20 | b, _NO_RANK) for a, b in zip(ids, ids[1:])]
             while ranks and (least := min(ranks)) != _NO_RANK:
                 k, new = ranks.index(least), least & 0xFFFFF
@@ -121,21 +119,21 @@ class Vocabulary:
                     ranks[k] = get(new << 20 | ids[k + 1], _NO_RANK)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = self.merges
-        heap = [(*m, k) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
+        heap = [(m, k) for k in range(n - 1) if (m := get(ids[k] << 20 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, new, k = heapq.heappop(heap)
-            if ids[k] is None or (j := after[k]) >= n or merges.get((ids[k], ids[j])) != (rank, new):
+            m, k = heapq.heappop(heap)
+            if ids[k] is None or (j := after[k]) >= n or get(ids[k] << 20 | ids[j]) != m:
                 continue
+            new = m & 0xFFFFF
             ids[k], ids[j] = new, None
             after[k] = j = after[j]
             if j < n:
                 before[j] = k
-                if m := merges.get((new, ids[j])):
-                    heapq.heappush(heap, (*m, k))
-            if (i := before[k]) >= 0 and (m := merges.get((ids[i], new))):
-                heapq.heappush(heap, (*m, i))
+                if (m := get(new << 20 | ids[j])) is not None:
+                    heapq.heappush(heap, (m, k))
+            if (i := before[k]) >= 0 and (m := get(ids[i] << 20 | new)) is not None:
+                heapq.heappush(heap, (m, i))
         return [x for x in ids if x is not None]
 
 
@@ -322,6 +320,7 @@ class Encoder:
 
     def __init__(self, voc: Vocabulary, lex: Lexicon):
         self.voc, self.lex, self.known = voc, lex, {}
+        self.one = list(range(max(voc.token) + 1))  # one object for each id, however many words have it
 
     def learn(self, words: set[str]) -> None:
         """Looks up all words that aren't known at once, and merges those that the lexicon doesn't have."""
@@ -330,7 +329,7 @@ class Encoder:
         new = [w for w in words if w not in self.known]
         raw = [w.encode() for w in new]
         for w, r, ids in zip(new, raw, self.lex.get_many(raw)):
-            self.known[w] = tuple(self.voc.merge(r)) if ids is None else ids
+            self.known[w] = tuple(map(self.one.__getitem__, self.voc.merge(r) if ids is None else ids))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [[(p, special) if special is not None else (split_words(p), None) for p, special in self.voc.pieces(t or "")] for t in texts]
